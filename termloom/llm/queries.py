@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, mixing
+from . import decontaminate, fertility, langid, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_source_mix": mixing.op, "op10_fertility": fertility.op}
+    return {
+        "op4_string_kernel": langid.op,
+        "op6_benchmark_matches": decontaminate.op,
+        "op8_source_mix": mixing.op,
+        "op10_fertility": fertility.op,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
