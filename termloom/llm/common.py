@@ -109,3 +109,25 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 def packed_schema(n_others: int) -> str:
     return "pid int, k binary" + "".join(f", v{i} binary" for i in range(n_others))
+
+
+def spread(key: np.ndarray, n: int) -> np.ndarray:
+    """Partition of each key."""
+    return (mix64(key + MIX) % np.uint64(n)).astype(np.int64)
+
+
+def by_pid(packed: DataFrame, n: int) -> DataFrame:
+    """Rows of one partition id in one partition, and each id's rows in the partition of that number."""
+    return packed.repartitionById(n, "pid")
+
+
+def unpacked(batches, dtypes: tuple, size: int = 1) -> list[np.ndarray]:
+    """The keys and other columns of all packed rows of a partition, end to end."""
+    out: list[list[np.ndarray]] = [[] for _ in range(1 + len(dtypes))]
+    for b in batches:
+        for k in b.column("k"):
+            out[0].append(unpack_keys(k.as_py()))
+        for i, t in enumerate(dtypes):
+            for v in b.column(f"v{i}"):
+                out[1 + i].append(unplanes(v.as_py(), t))
+    return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.uint64, *dtypes))]

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, langid, mixing
+from . import decontaminate, fertility, langid, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op,
         "op4_string_kernel": langid.op,
         "op6_benchmark_matches": decontaminate.op,
         "op8_source_mix": mixing.op,
