@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, langid, mixing, toxicity
+from . import decontaminate, fertility, langid, mixing, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op,
         "op4_string_kernel": langid.op,
         "op6_benchmark_matches": decontaminate.op,
+        "op7_warc_zstd": warc.op,
         "op8_source_mix": mixing.op,
+        "op9_secrets": secrets.op,
         "op10_fertility": fertility.op,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.sql()}
+    return {"op7_warc_zstd": warc.SQL, "op8_source_mix": mixing.sql()}
