@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -131,3 +132,168 @@ def unpacked(batches, dtypes: tuple, size: int = 1) -> list[np.ndarray]:
             for v in b.column(f"v{i}"):
                 out[1 + i].append(unplanes(v.as_py(), t))
     return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.uint64, *dtypes))]
+
+
+PAIR_SCHEMA = "pid int, kind int, k binary, v0 binary, v1 binary, v2 binary, v3 binary"
+PAYLOAD, PAIRS, NEEDED, REQUEST = range(4)
+
+
+def pair_row(pid: int, kind: int, k: np.ndarray, *rest: bytes) -> tuple:
+    d = np.diff(k, prepend=np.uint64(0)) if kind == PAIRS else k
+    return (pid, kind, planes(d), *rest, *[None] * (4 - len(rest)))
+
+
+def pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["pid", "kind", "k", "v0", "v1", "v2", "v3"])
+
+
+def payload_rows(ids: np.ndarray, data: list[bytes], n: int) -> list[tuple]:
+    """Rows that take each id's payload to its partition."""
+    pid = spread(ids, n)
+    out = []
+    for p in np.unique(pid).tolist():
+        at = np.flatnonzero(pid == p)
+        own = [data[i] for i in at]
+        out.append(pair_row(p, PAYLOAD, ids[at], planes(np.array([len(x) for x in own], np.uint32)), b"".join(own)))
+    return out
+
+
+def found_rows(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple]:
+    """Rows that take pairs (a, b) to a's partition, and the fact that b is needed to b's."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    pid, out = spread(a, n), []
+    for p in np.unique(pid).tolist():
+        at = pid == p
+        out.append(pair_row(p, PAIRS, a[at], planes(b[at])))
+    need = np.unique(b)
+    pid = spread(need, n)
+    return out + [pair_row(p, NEEDED, need[pid == p]) for p in np.unique(pid).tolist()]
+
+
+class _Payloads:
+    def __init__(self) -> None:
+        self.ids: list[np.ndarray] = []
+        self.data: list[bytes] = []
+
+    def add(self, row: dict) -> None:
+        sizes = unplanes(row["v0"], np.uint32)
+        ends = np.cumsum(sizes).tolist()
+        self.ids.append(unplanes(row["k"], np.uint64))
+        self.data += [row["v1"][e - s : e] for e, s in zip(ends, sizes.tolist())]
+
+    def done(self) -> None:
+        ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint64)
+        self.table, self.place = np.unique(ids, return_index=True)
+
+    def __getitem__(self, key: np.uint64) -> bytes:
+        return self.data[self.place[np.searchsorted(self.table, key)]]
+
+
+def _rows(batches):
+    for b in batches:
+        yield from b.to_pylist()
+
+
+def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataFrame:
+    """(a, b, score) of the pairs for which ``verify(payload of a, payload of b, a, b)`` isn't None.
+
+    ``found`` and ``payloads`` have PAIR_SCHEMA. A payload travels once to its own partition, from there only if it is in a pair, and
+    then once to each partition that holds a partner, however many partners those are.
+    """
+
+    def route(batches):
+        held, a, b, need = _Payloads(), [], [], []
+        for r in _rows(batches):
+            if r["kind"] == PAYLOAD:
+                held.add(r)
+            elif r["kind"] == PAIRS:
+                a.append(np.cumsum(unplanes(r["k"], np.uint64), dtype=np.uint64))
+                b.append(unplanes(r["v0"], np.uint64))
+            else:
+                need.append(unplanes(r["k"], np.uint64))
+        held.done()
+        if need:
+            ids = np.unique(np.concatenate(need))
+            yield pair_batch(payload_rows(ids, [held[i] for i in ids], n))
+        if not a:
+            return
+        a, b = np.concatenate(a), np.concatenate(b)
+        to = spread(b, n)
+        order = np.lexsort((b, a, to))
+        a, b, to = a[order], b[order], to[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b, to = a[new], b[new], to[new]
+        for p in np.unique(to).tolist():
+            mine = slice(*np.searchsorted(to, [p, p + 1]))
+            ids, first = np.unique(a[mine], return_index=True)
+            counts = np.diff(np.append(first, len(a[mine]))).astype(np.uint32)
+            for i in range(0, len(ids), 2000):
+                part = ids[i : i + 2000]
+                own = [held[x] for x in part]
+                lo, hi = int(first[i]), int(first[i]) + int(counts[i : i + 2000].sum())
+                yield pair_batch([pair_row(p, REQUEST, part, planes(np.array([len(x) for x in own], np.uint32)), b"".join(own), planes(counts[i : i + 2000]), planes(b[mine][lo:hi]))])
+
+    def check(batches):
+        held, requests = _Payloads(), []
+        for r in _rows(batches):
+            held.add(r) if r["kind"] == PAYLOAD else requests.append(r)
+        held.done()
+        for r in requests:
+            ask = _Payloads()
+            ask.add(r)
+            counts, partners = unplanes(r["v2"], np.uint32).tolist(), unplanes(r["v3"], np.uint64)
+            rows, at = [], 0
+            for a, data, c in zip(ask.ids[0], ask.data, counts):
+                for b in partners[at : at + c]:
+                    if (s := verify(data, held[b], a, b)) is not None:
+                        rows.append((a, b, s))
+                at += c
+            if rows:
+                a, b, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(s, pa.float64())], names=["a", "b", "score"])
+
+    routed = by_pid(found.unionByName(payloads), n).mapInArrow(route, PAIR_SCHEMA)
+    return by_pid(routed, n).mapInArrow(check, "a bigint, b bigint, score double")
+
+
+def run_pairs(counts: np.ndarray, starts: np.ndarray, limit: int = 1_000_000):
+    """Places (i, j), i < j, of all pairs within runs of equal keys, in arrays of about ``limit`` pairs."""
+    for size in np.unique(counts[counts > 1]).tolist():
+        at = starts[counts == size]
+        if size * (size - 1) // 2 <= limit:
+            i, j = np.triu_indices(size, 1)
+            step = max(1, limit // len(i))
+            for x in range(0, len(at), step):
+                base = at[x : x + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            for s in at.tolist():
+                for i in range(size - 1):
+                    j = np.arange(i + 1, size)
+                    yield np.full(len(j), s + i), s + j
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that is connected with each node of the edges (a, b), by large and small stars.
+
+    Each round joins neighbourhoods to their least node; rounds grow with the logarithm of the longest chain, and each is written
+    to the shared folder.
+    """
+    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    last = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        low = big.groupBy("a").agg(F.min("b").alias("m"))
+        small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        new = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop(now)
+        now = new
+        if mark == last:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        last = mark

@@ -121,7 +121,7 @@ def _sql_hash(c: str, seed: int) -> str:
 def sql(docs: str = "documents") -> str:
     return f"""
 WITH base AS (
-  SELECT doc_id, coalesce(source, '{NONE}') AS source, len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> ''))::BIGINT AS n_tokens,
+  SELECT doc_id, coalesce(source, '{NONE}') AS source, len([x for x in regexp_split_to_array(text, '\\s+') if x <> ''])::BIGINT AS n_tokens,
          text FROM {docs}
 ), held AS (SELECT * FROM base WHERE n_tokens > 0),
 sharded AS (SELECT *, {_sql_hash("coalesce(doc_id, -1)", SEED)} % greatest(1, ceil((SELECT sum(n_tokens) FROM held) / {SHARD_TOKENS}.0)::BIGINT) AS shard FROM held),

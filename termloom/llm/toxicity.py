@@ -157,34 +157,44 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
                     ok = (i >= 0) & (j >= 0) & (w.row[:-d] == w.row[d:])
                     i, j = i[ok], j[ok]
                     keys.append((np.minimum(i, j) * v + np.maximum(i, j)).astype(np.uint64))
-                held.append(W.sorted_counts(np.concatenate(keys)))
+                k, c = W.sorted_counts(np.concatenate(keys))
+                held.append((k, c.astype(np.uint32)))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > 1_000_000:
                     merged = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
                     held, size = [merged], 0
-                    if len(merged[0]) > 4_000_000:
+                    if len(merged[0]) > 1_500_000:
                         yield out()
                         held = []
         if held:
             yield out()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, c = W.sorted_counts(*common.unpacked(batches, (np.uint32,)))
-        for a in range(0, len(k), 500_000):
-            p = k[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array((p // v).astype(np.int32)), pa.array((p % v).astype(np.int32)), pa.array(c[a : a + 500_000].astype(np.int64))], names=["i", "j", "c"])
+        """Pairs that occur often enough, and (word, null, its count in all pairs)."""
+        k, c = common.unpacked(batches, (np.uint32,))
+        k, c = W.sorted_counts(k, c.astype(np.int64))
+        i, j = (k // v).astype(np.int64), (k % v).astype(np.int64)
+        sums = np.bincount(i, c, v) + np.bincount(j[i != j], c[i != j], v) if len(k) else np.zeros(v)
+        own = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.int32()), pa.array(sums[own].astype(np.int64))], names=["i", "j", "c"])
+        often = (c >= pairs) & (i != j)
+        i, j, c = i[often], j[often], c[often]
+        for a in range(0, len(i), 500_000):
+            part = slice(a, a + 500_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(t)) for x, t in ((i, np.int32), (j, np.int32), (c, np.int64))], names=["i", "j", "c"])
 
     half = common.by_pid(docs.select("text").mapInArrow(count, common.packed_schema(1)), n).mapInArrow(total, "i int, j int, c bigint")
     half = common.materialize(half, "pairs")
-    both = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
+    edges = half.where("j IS NOT NULL")
+    both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
     sums = np.zeros(v)
-    for r in both.groupBy("i").agg(F.sum("c").alias("c")).toArrow().to_pylist():
+    for r in half.where("j IS NULL").groupBy("i").agg(F.sum("c").alias("c")).toArrow().to_pylist():
         sums[r["i"]] = r["c"]
     context = sums**0.75
     own, other = sums / max(1.0, sums.sum()), context / max(1.0, context.sum())
     shares = spark.createDataFrame([(k, float(own[k]), float(other[k])) for k in range(v)], "k int, own double, other double")
-    mi = both.where(F.col("c") >= pairs).join(shares.select(F.col("k").alias("i"), "own"), "i").join(shares.select(F.col("k").alias("j"), "other"), "j")
-    mi = mi.select("i", "j", F.log((F.col("c") - 2 * F.sqrt("c")) / F.lit(float(max(1.0, sums.sum()))) / F.col("own") / F.col("other")).alias("w")).where("w > 0 AND i <> j")
+    mi = both.join(shares.select(F.col("k").alias("i"), "own"), "i").join(shares.select(F.col("k").alias("j"), "other"), "j")
+    mi = mi.select("i", "j", F.log((F.col("c") - 2 * F.sqrt("c")) / F.lit(float(max(1.0, sums.sum()))) / F.col("own") / F.col("other")).alias("w")).where("w > 0")
     top = mi.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("w", 9)), "j"))).where(F.col("r") <= near).select("i", "j", "w").toArrow()
     common.drop(half)
     return tuple(top.column(x).to_numpy() for x in ("i", "j", "w"))
