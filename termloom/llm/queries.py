@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, langid, mixing, secrets, toxicity, warc
+from . import decontaminate, fertility, jaccard, langid, mixing, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op,
         "op4_string_kernel": langid.op,
+        "op5_jaccard_join": jaccard.op,
         "op6_benchmark_matches": decontaminate.op,
         "op7_warc_zstd": warc.op,
         "op8_source_mix": mixing.op,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_zstd": warc.SQL, "op8_source_mix": mixing.sql()}
+    return {"op5_jaccard_join": jaccard.SQL, "op7_warc_zstd": warc.SQL, "op8_source_mix": mixing.sql()}
