@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -144,9 +144,8 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
         table, held, size = shared.value, [], 0
 
         def out() -> pa.RecordBatch:
-            k = np.concatenate([x for x, _ in held])
-            k, c = W.sorted_counts(k, np.concatenate([y for _, y in held]))
-            return common.pack(common.spread(k, n), n, k, [c.astype(np.uint32)])
+            k, c = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            return common.pack(common.spread(k // np.uint64(v), n), n, k, [c])
 
         for b in batches:
             for w in W.words(b.column("text")):
@@ -170,33 +169,49 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
             yield out()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that occur often enough, and (word, null, its count in all pairs)."""
+        """Pairs that occur often enough, in both directions, and (pid null) words and their counts in all pairs."""
         k, c = common.unpacked(batches, (np.uint32,))
         k, c = W.sorted_counts(k, c.astype(np.int64))
         i, j = (k // v).astype(np.int64), (k % v).astype(np.int64)
         sums = np.bincount(i, c, v) + np.bincount(j[i != j], c[i != j], v) if len(k) else np.zeros(v)
         own = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.int32()), pa.array(sums[own].astype(np.int64))], names=["i", "j", "c"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([common.planes(own)], pa.binary()), pa.array([common.planes(sums[own].astype(np.int64))], pa.binary())], names=["pid", "k", "v0"])
         often = (c >= pairs) & (i != j)
         i, j, c = i[often], j[often], c[often]
-        for a in range(0, len(i), 500_000):
-            part = slice(a, a + 500_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part].astype(t)) for x, t in ((i, np.int32), (j, np.int32), (c, np.int64))], names=["i", "j", "c"])
-
-    half = common.by_pid(docs.select("text").mapInArrow(count, common.packed_schema(1)), n).mapInArrow(total, "i int, j int, c bigint")
-    half = common.materialize(half, "pairs")
-    edges = half.where("j IS NOT NULL")
-    both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
+        i, j, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
+        yield common.pack(common.spread(i.astype(np.uint64), n), n, (i * v + j).astype(np.uint64), [c.astype(np.uint32)])
+
+    counted = common.by_pid(docs.select("text").mapInArrow(count, common.packed_schema(1)), n).mapInArrow(total, common.packed_schema(1))
+    counted = common.materialize(counted, "pairs")
+    common.release(spark)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(v)
+        for b in batches:
+            for k, c in zip(b.column("k"), b.column("v0")):
+                sums[common.unplanes(k.as_py(), np.int64)] += common.unplanes(c.as_py(), np.int64)
+        own = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[own])], names=["i", "c"])
+
     sums = np.zeros(v)
-    for r in half.where("j IS NULL").groupBy("i").agg(F.sum("c").alias("c")).toArrow().to_pylist():
-        sums[r["i"]] = r["c"]
-    context = sums**0.75
-    own, other = sums / max(1.0, sums.sum()), context / max(1.0, context.sum())
-    shares = spark.createDataFrame([(k, float(own[k]), float(other[k])) for k in range(v)], "k int, own double, other double")
-    mi = both.join(shares.select(F.col("k").alias("i"), "own"), "i").join(shares.select(F.col("k").alias("j"), "other"), "j")
-    mi = mi.select("i", "j", F.log((F.col("c") - 2 * F.sqrt("c")) / F.lit(float(max(1.0, sums.sum()))) / F.col("own") / F.col("other")).alias("w")).where("w > 0")
-    top = mi.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("w", 9)), "j"))).where(F.col("r") <= near).select("i", "j", "w").toArrow()
-    common.drop(half)
+    got = counted.where("pid IS NULL").mapInArrow(margins, "i bigint, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    sums[got.column("i").to_numpy()] = got.column("c").to_numpy()
+    shares = spark.sparkContext.broadcast((np.log(np.maximum(sums, 1) / max(1.0, sums.sum())), np.log(np.maximum(sums, 1) ** 0.75 / max(1.0, (sums**0.75).sum())), float(np.log(max(1.0, sums.sum())))))
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, c = common.unpacked(batches, (np.uint32,))
+        k, c = W.sorted_counts(k, c.astype(np.float64))  # a pair comes from one place
+        i, j = (k // v).astype(np.int64), (k % v).astype(np.int64)
+        own, context, whole = shares.value
+        w = np.round(np.log(np.maximum(c - 2 * np.sqrt(c), 1e-9)) - whole - own[i] - context[j], 9)
+        i, j, w = i[w > 0], j[w > 0], w[w > 0]
+        order = np.lexsort((j, -w, i))
+        i, j, w = i[order], j[order], w[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i, "left") < near
+        yield pa.RecordBatch.from_arrays([pa.array(i[top]), pa.array(j[top]), pa.array(w[top])], names=["i", "j", "w"])
+
+    top = common.by_pid(counted.where("pid IS NOT NULL"), n).mapInArrow(strongest, "i bigint, j bigint, w double").toArrow()
+    common.drop(counted)
     return tuple(top.column(x).to_numpy() for x in ("i", "j", "w"))
 
 
