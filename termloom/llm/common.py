@@ -295,5 +295,6 @@ def components(edges: DataFrame) -> DataFrame:
         drop(now)
         now = new
         if mark == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return out.unionByName(out.select(F.col("root").alias("node"), "root").distinct())
         last = mark

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, jaccard, langid, mixing, secrets, toxicity, warc
+from . import decontaminate, fertility, jaccard, langid, lines, mixing, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op,
+        "op3_fuzzy_lines": lines.op,
         "op4_string_kernel": langid.op,
         "op5_jaccard_join": jaccard.op,
         "op6_benchmark_matches": decontaminate.op,
