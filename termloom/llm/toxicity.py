@@ -4,7 +4,7 @@
 2. Seeds: words whose log-odds between the toxic and the clean of a bounded sample of labelled documents are at least ``odds``, with
    a likelihood ratio of at least ``ratio``, by documents and by distinct neighbourhoods (so that copies of one document count
    once) are toxic seeds; words that two or more clean documents hold, with log-odds under a third of ``odds``, are clean seeds.
-3. Graph: co-occurrence counts within ``window`` words over all documents, less two standard deviations, positive pointwise mutual
+3. Graph, of the words that at most ``COMMON`` of the documents hold: co-occurrence counts within ``window`` words over all documents, less two standard deviations, positive pointwise mutual
    information (contexts smoothed by the power 0.75), and each word's ``near`` strongest neighbours, made symmetric.
 4. Polarity: the chance that a random walk from a word meets a toxic seed first, less the chance that it meets a clean one first
    (the seeds' own are 1 and -1). Words with a polarity of at least ``cut`` are the lexicon.
@@ -31,7 +31,7 @@ from . import common
 from . import words as W
 
 LABELLED = 100_000  #: labelled documents that seeds and threshold are fitted on, at most
-SHARE, LEAST, WINDOW, NEAR, ODDS, RATIO, STEPS, CUT, PAIRS, SEED = 5e-4, 8, 5, 25, 1.5, 25.0, 200, 0.5, 5, 41
+SHARE, LEAST, COMMON, WINDOW, NEAR, ODDS, RATIO, STEPS, CUT, PAIRS, SEED = 1e-3, 8, 0.1, 4, 25, 1.5, 25.0, 200, 0.5, 5, 41
 SCHEMA = "doc_id bigint, n_words bigint, n_hits bigint, toxicity double"
 
 
@@ -159,10 +159,10 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
                 k, c = W.sorted_counts(np.concatenate(keys))
                 held.append((k, c.astype(np.uint32)))
                 size += len(held[-1][0])
-                if size > 1_000_000:
+                if size > 600_000:
                     merged = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
                     held, size = [merged], 0
-                    if len(merged[0]) > 1_500_000:
+                    if len(merged[0]) > 1_000_000:
                         yield out()
                         held = []
         if held:
@@ -271,11 +271,13 @@ def threshold(scores: np.ndarray, verdict: np.ndarray) -> float:
 def induce(docs: DataFrame, labels: DataFrame, share: float = SHARE, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lexicon and weights, and the labelled sample."""
     ids, verdict = labelled(labels)
-    vocabulary, _, toxic, clean = frequencies(docs, ids, verdict, share)
+    vocabulary, df, toxic, clean = frequencies(docs, ids, verdict, share)
     pos, neg = seeds(docs, ids, verdict, vocabulary, toxic, clean)
     if not pos.any() or not neg.any():
         return np.empty(0, np.uint64), np.empty(0), ids, verdict
-    p = polarity(len(vocabulary), graph(docs, vocabulary), pos, neg)
+    p = np.where(pos, 1.0, 0.0)
+    rare = df <= COMMON * max(1, docs.where("text IS NOT NULL").count())
+    p[rare] = polarity(int(rare.sum()), graph(docs, vocabulary[rare]), pos[rare], neg[rare])
     return vocabulary[p >= cut], p[p >= cut], ids, verdict
 
 
