@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, jaccard, langid, lines, mixing, secrets, toxicity, warc
+from . import decontaminate, fertility, jaccard, katz, langid, lines, mixing, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op,
+        "op2_katz": katz.op,
         "op3_fuzzy_lines": lines.op,
         "op4_string_kernel": langid.op,
         "op5_jaccard_join": jaccard.op,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard.SQL, "op7_warc_zstd": warc.SQL, "op8_source_mix": mixing.sql()}
+    return {"op2_katz": katz.SQL, "op5_jaccard_join": jaccard.SQL, "op7_warc_zstd": warc.SQL, "op8_source_mix": mixing.sql()}
