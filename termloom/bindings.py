@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .plans import assemble
+from .plans.components import checkpointed
 
 BASE = "https://models.example.org/"
 FIELDS = ("kind", "source", "key", "label", "schemes", "slug", "broader", "owner", "end_a", "end_b")
@@ -66,11 +67,12 @@ def named(objects_: DataFrame) -> DataFrame:
     """Objects with ref (source:key) and iri."""
     c = F.col
     local = ids.local_name(c("kind"), c("source"), c("key"), c("schemes"), c("slug"))
-    return objects_.withColumns({"ref": F.concat_ws(":", "source", "key"), "iri": F.concat(ids.namespace(c("kind"), BASE), local)})
+    out = objects_.withColumns({"ref": F.concat_ws(":", "source", "key"), "iri": F.concat(ids.namespace(c("kind"), BASE), local)})
+    return checkpointed(out)  # queries read it several times
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.statements(named(objects(spark, sf_dir)), BASE, glossary=lambda slug: slug != "part-type")
+    return checkpointed(assemble.statements(named(objects(spark, sf_dir)), BASE, glossary=lambda slug: slug != "part-type"))
 
 
 REGION = "'region-' || n_regionkey"

@@ -465,7 +465,7 @@ def manifest_diff(spark, d):
 
 # ---- rules ------------------------------------------------------------------------------------------------------------------
 _BAD = QUADS + f""", bad AS MATERIALIZED (
-  SELECT file, CASE WHEN md5(subject) > 'fff' THEN 'urn:stray:' || md5(subject) ELSE subject END AS subject, predicate, o_kind,
+  SELECT file, CASE WHEN md5(subject) > 'f8' THEN 'urn:stray:' || md5(subject) ELSE subject END AS subject, predicate, o_kind,
     CASE WHEN predicate = '{V.IN_SCHEME}' AND md5(subject) LIKE '3%' THEN '{BASE}sch/none' WHEN predicate = '{V.STATUS}' AND md5(subject) LIKE '5%' THEN 'odd' WHEN predicate = '{V.STATUS}' AND md5(subject) LIKE '6%' THEN 'deprecated' ELSE o_value END AS o_value,
     CASE WHEN predicate = '{V.LABEL}' AND md5(subject) LIKE '1%' THEN NULL ELSE o_lang END AS o_lang
   FROM quads WHERE NOT (predicate = '{V.STATUS}' AND md5(subject) LIKE '0%') AND NOT (predicate IN ('{V.ATTRIBUTE_OF}', '{V.SOURCE}') AND md5(subject) LIKE '4%')
@@ -480,7 +480,7 @@ def _bad(spark: SparkSession, d: str) -> DataFrame:
     starts = lambda x: F.startswith(h, lit(x))
     is_ = lambda *p: c("predicate").isin(*p)
     base = q.where(~(is_(V.STATUS) & starts("0")) & ~(is_(V.ATTRIBUTE_OF, V.SOURCE) & starts("4"))).select(
-        "file", F.when(h > "fff", F.concat(lit("urn:stray:"), h)).otherwise(c("subject")).alias("subject"), "predicate", "o_kind",
+        "file", F.when(h > "f8", F.concat(lit("urn:stray:"), h)).otherwise(c("subject")).alias("subject"), "predicate", "o_kind",
         F.when(is_(V.IN_SCHEME) & starts("3"), BASE + "sch/none").when(is_(V.STATUS) & starts("5"), "odd").when(is_(V.STATUS) & starts("6"), "deprecated").otherwise(c("o_value")).alias("o_value"),
         F.when(is_(V.LABEL) & starts("1"), None).otherwise(c("o_lang")).alias("o_lang"),
     )

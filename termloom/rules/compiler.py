@@ -67,19 +67,21 @@ def evaluate(quads: DataFrame, rules: list[Rule] = CATALOG) -> DataFrame:
     )
     wide = focus.join(one.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", F.struct("n", "langs", "tagged", "values")))).alias("p")), "subject", "left")
     found = []
+    none = F.array().cast("array<string>")
     for r in rules:
         if r.component == "class":
             continue
         at = F.try_element_at("p", F.lit(r.path))
         n = F.coalesce(at["n"], F.lit(0))
+        allowed = F.array(*[F.lit(v) for v in r.value]).cast("array<string>") if r.component == "in" else none
         bad = {
-            "minCount": n < (r.value or 0),
-            "maxCount": n > (r.value or 0),
+            "minCount": n < (r.value if r.component == "minCount" else 0),
+            "maxCount": n > (r.value if r.component == "maxCount" else 0),
             "none": n > 0,
             "unique_lang": n > F.coalesce(at["langs"], F.lit(0)),
             "lang": n > F.coalesce(at["tagged"], F.lit(0)),
             "plain": F.coalesce(at["tagged"], F.lit(0)) > 0,
-            "in": F.size(F.array_except(F.coalesce(at["values"], F.array().cast("array<string>")), F.array(*[F.lit(v) for v in r.value or ()]).cast("array<string>"))) > 0,
+            "in": F.size(F.array_except(F.coalesce(at["values"], none), allowed)) > 0,
         }[r.component]
         target = F.arrays_overlap("types", F.array(*[F.lit(t) for t in r.targets]))
         found.append(F.when(target & bad, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))))
