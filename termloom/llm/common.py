@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +149,11 @@ def pair_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["pid", "kind", "k", "v0", "v1", "v2", "v3"])
 
 
+def squash(data: list[bytes]) -> bytes:
+    """Payloads end to end, compressed together: those of one row are often alike."""
+    return zstandard.compress(b"".join(data), 3)
+
+
 def payload_rows(ids: np.ndarray, data: list[bytes], n: int) -> list[tuple]:
     """Rows that take each id's payload to its partition."""
     pid = spread(ids, n)
@@ -155,7 +161,7 @@ def payload_rows(ids: np.ndarray, data: list[bytes], n: int) -> list[tuple]:
     for p in np.unique(pid).tolist():
         at = np.flatnonzero(pid == p)
         own = [data[i] for i in at]
-        out.append(pair_row(p, PAYLOAD, ids[at], planes(np.array([len(x) for x in own], np.uint32)), b"".join(own)))
+        out.append(pair_row(p, PAYLOAD, ids[at], planes(np.array([len(x) for x in own], np.uint32)), squash(own)))
     return out
 
 
@@ -181,7 +187,8 @@ class _Payloads:
         sizes = unplanes(row["v0"], np.uint32)
         ends = np.cumsum(sizes).tolist()
         self.ids.append(unplanes(row["k"], np.uint64))
-        self.data += [row["v1"][e - s : e] for e, s in zip(ends, sizes.tolist())]
+        data = zstandard.decompress(row["v1"])
+        self.data += [data[e - s : e] for e, s in zip(ends, sizes.tolist())]
 
     def done(self) -> None:
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint64)
@@ -233,7 +240,7 @@ def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataF
                 part = ids[i : i + 2000]
                 own = [held[x] for x in part]
                 lo, hi = int(first[i]), int(first[i]) + int(counts[i : i + 2000].sum())
-                yield pair_batch([pair_row(p, REQUEST, part, planes(np.array([len(x) for x in own], np.uint32)), b"".join(own), planes(counts[i : i + 2000]), planes(b[mine][lo:hi]))])
+                yield pair_batch([pair_row(p, REQUEST, part, planes(np.array([len(x) for x in own], np.uint32)), squash(own), planes(counts[i : i + 2000]), planes(b[mine][lo:hi]))])
 
     def check(batches):
         held, requests = _Payloads(), []
