@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -52,8 +53,10 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps, whose frames are garbage by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+    for _ in range(2):  # the first round frees the frames that hold the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        time.sleep(0.5)
 
 
 def n_parts(spark: SparkSession) -> int:
