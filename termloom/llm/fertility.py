@@ -24,11 +24,11 @@ SHORT = 24  #: texts under so many tokens are judged by their byte share alone
 #: Rejection bands by language, else by script, else "*": least and most characters per token, most byte share, least and most entropy
 #: as a part of the most that so many tokens could have.
 BANDS = {
-    "en": (1.75, 4.5, 0.10, 0.45, 0.97),
-    "de": (1.75, 4.5, 0.10, 0.45, 0.97),
-    "fr": (1.60, 4.5, 0.10, 0.45, 0.97),
-    "es": (1.60, 4.5, 0.10, 0.45, 0.97),
-    "Latn": (1.5, 6.0, 0.15, 0.40, 0.99),
+    "en": (1.75, 7.0, 0.10, 0.45, 0.97),
+    "de": (1.75, 7.0, 0.10, 0.45, 0.97),
+    "fr": (1.60, 7.0, 0.10, 0.45, 0.97),
+    "es": (1.60, 7.0, 0.10, 0.45, 0.97),
+    "Latn": (1.5, 7.0, 0.15, 0.40, 0.99),
     "*": (0.4, 8.0, 0.9, 0.30, 1.0),
 }
 SCHEMA = "doc_id bigint, lang string, n_chars bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double, keep boolean, reason string"

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-BOMB, MARGIN = 2000, 1 << 20  #: an unpacked run may have so many bytes per character, and so many besides
+BOMB, MARGIN = 200, 1 << 20  #: an unpacked run may have so many bytes per character, and so many besides
 KINDS = {
     "aws access key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github token": r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b",
