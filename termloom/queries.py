@@ -573,7 +573,7 @@ def name_clash(spark, d):
 @query(_BAD + " SELECT rule, subject, place FROM (SELECT rule, subject, row_number() OVER (PARTITION BY rule ORDER BY subject) AS place FROM (" + " UNION ALL ".join(map(_rule_sql, _rules("label", "status"))) + ")) WHERE place <= 20")
 def top_listing(spark, d):
     v = compiler.evaluate(_bad(spark, d), _rules("label", "status"))
-    return v.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy("subject"))).where("place <= 20").select("rule", "subject", "place")
+    return v.withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy("subject")).cast("bigint")).where("place <= 20").select("rule", "subject", "place")
 
 
 @query(_BAD + " SELECT row_number() OVER (ORDER BY subject, rule) AS place, subject, rule, severity FROM (" + " UNION ALL ".join(map(_rule_sql, _rules("owner", "source-"))) + ")")
