@@ -207,7 +207,7 @@ def _rows(batches):
 
 
 def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataFrame:
-    """(a, b, score) of the pairs for which ``verify(payload of a, payload of b, a, b)`` isn't None.
+    """(a, b, score) of the pairs for which ``verify()(payload of a, payload of b, a, b)`` isn't None; ``verify`` is called for each partition.
 
     ``found`` and ``payloads`` have PAIR_SCHEMA. A payload travels once to its own partition, from there only if it is in a pair, and
     then once to each partition that holds a partner, however many partners those are.
@@ -246,7 +246,7 @@ def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataF
                 yield pair_batch([pair_row(p, REQUEST, part, planes(np.array([len(x) for x in own], np.uint32)), squash(own), planes(counts[i : i + 2000]), planes(b[mine][lo:hi]))])
 
     def check(batches):
-        held, requests = _Payloads(), []
+        held, requests, own = _Payloads(), [], verify()
         for r in _rows(batches):
             held.add(r) if r["kind"] == PAYLOAD else requests.append(r)
         held.done()
@@ -257,7 +257,7 @@ def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataF
             rows, at = [], 0
             for a, data, c in zip(ask.ids[0], ask.data, counts):
                 for b in partners[at : at + c]:
-                    if (s := verify(data, held[b], a, b)) is not None:
+                    if (s := own(data, held[b], a, b)) is not None:
                         rows.append((a, b, s))
                 at += c
             if rows:
