@@ -14,10 +14,13 @@ REMOVED = "​﻿­"
 STRIPPED = r"[\t\n\x0B\f\r\x1C-\x20\x85]"
 
 
-@F.pandas_udf("string")
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _nfc(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return nfc(c)
 
 
 def strip(c: Column) -> Column:
