@@ -31,7 +31,7 @@ from . import common
 
 DICTIONARY, SKIPPABLE = 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 FRAME = 0xFD2FB528
-SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 400, 64 << 10, 3  #: the dictionary is trained on at most so many pages
+SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 400, 64 << 10, 3  #: the dictionary is trained on about so many pages, drawn by hash, twice as many at most
 READ, PIECE = 1 << 20, 16 << 10
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 SCHEMA = "file string, offset bigint, length bigint, record_type string, record_id string, target_uri string, content_length bigint, nulls string, block binary, error string"
@@ -68,7 +68,9 @@ def _fs(path: str) -> tuple[fs.FileSystem, str]:
 
 def write(pages: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Archives of all pages: file, records and bytes of each. A partition that is retried writes its file again, under the same name."""
-    sample = [record(r["page_id"], r["url"], r["html"]) for r in pages.select("page_id", "url", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).collect()]
+    rate = min(1.0, SAMPLE_ROWS / max(1, pages.count()))
+    drawn = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("page_id", "url", "html").limit(2 * SAMPLE_ROWS)
+    sample = sorted(record(r["page_id"], r["url"], r["html"]) for r in drawn.collect())
     trained = dictionary(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
