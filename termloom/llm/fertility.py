@@ -1,6 +1,7 @@
 """Quality rules by tokeniser fertility: characters per token, byte-fallback share and token entropy under public vocabularies.
 
 Defined cases: a null, empty or blank text holds no tokens and is rejected as ``empty``; texts of any length are encoded whole;
+spaces at the end of a text hold no token;
 documents repeated under one id are judged one by one; a null or unknown language is judged by its script's band; other columns
 of the input are ignored by :func:`measure` and kept as they are by :func:`keep`.
 """
@@ -60,6 +61,7 @@ _SEGMENT = re.compile(" *[^ ]+| +")
 
 
 def _words(text: str) -> list[str]:
+    text = text.rstrip(" ")
     if "  " in text or text[:1] == " " or text[-1:] == " ":
         parts = _SEGMENT.findall(text)
         return [p[1:] if p[0] == " " and i else p for i, p in enumerate(parts)]
