@@ -1,17 +1,17 @@
 """Toxicity by lexicon induction.
 
-1. Vocabulary: the words that at least ``share`` of all documents hold (and ``least`` documents), counted over every document.
+1. Vocabulary: the words that at least ``least`` documents hold, at any size of corpus, counted over every document.
 2. Seeds: words whose log-odds between the toxic and the clean of a bounded sample of labelled documents are at least ``odds``, with
    a likelihood ratio of at least ``ratio``, by documents and by distinct neighbourhoods (so that copies of one document count
    once) are toxic seeds; words that two or more clean documents hold, with log-odds under a third of ``odds``, are clean seeds.
-3. Graph, of the words that at most ``COMMON`` of the documents hold: co-occurrence counts within ``window`` words over all documents, less two standard deviations, positive pointwise mutual
+3. Graph of the vocabulary: co-occurrence counts within ``window`` words over all documents, less two standard deviations, positive pointwise mutual
    information (contexts smoothed by the power 0.75), and each word's ``near`` strongest neighbours, made symmetric.
 4. Polarity: the chance that a random walk from a word meets a toxic seed first, less the chance that it meets a clean one first
    (the seeds' own are 1 and -1). Words with a polarity of at least ``cut`` are the lexicon.
 5. Score: the sum of the lexicon's polarities over a document's words; the threshold is the one of best F1 on the labelled sample.
 
-The vocabulary, thus the graph, is bounded by the mean number of distinct words of a document divided by ``share``, at any size of
-corpus, and is what the driver holds; counts are made by the executors.
+The vocabulary, thus the graph with ``near`` edges a word, is what the driver holds and grows with the corpus as distinct words do;
+counts are made by the executors.
 
 Defined cases: a null or empty text has no words, the score 0 and is not toxic; every row is scored, whatever its id; labels of a
 null id or with a null verdict are left out, contrary labels of one id count as toxic; without labels of both kinds, or without
@@ -31,7 +31,7 @@ from . import common
 from . import words as W
 
 LABELLED = 100_000  #: labelled documents that seeds and threshold are fitted on, at most
-SHARE, LEAST, COMMON, WINDOW, NEAR, ODDS, RATIO, STEPS, CUT, PAIRS, SEED = 1e-3, 8, 0.1, 4, 25, 1.5, 25.0, 200, 0.5, 5, 41
+LEAST, WINDOW, NEAR, ODDS, RATIO, STEPS, CUT, PAIRS, SEED = 8, 5, 25, 1.5, 25.0, 200, 0.5, 5, 41
 SCHEMA = "doc_id bigint, n_words bigint, n_hits bigint, toxicity double"
 
 
@@ -46,10 +46,9 @@ def labelled(labels: DataFrame, most: int = LABELLED, seed: int = SEED) -> tuple
     return ids[order], verdict[order]
 
 
-def frequencies(docs: DataFrame, ids: np.ndarray, verdict: np.ndarray, share: float = SHARE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def frequencies(docs: DataFrame, ids: np.ndarray, verdict: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (ascending) of the vocabulary, and how many of all, toxic and clean documents hold each."""
     n = common.n_parts(docs.sparkSession)
-    cut = max(least, share * docs.where("text IS NOT NULL").count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,7 +78,7 @@ def frequencies(docs: DataFrame, ids: np.ndarray, verdict: np.ndarray, share: fl
             k = k[order]
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             sums = [np.add.reduceat(c[order].astype(np.int64), first) for c in cols]
-            ok = sums[0] >= cut
+            ok = sums[0] >= least
             yield pa.RecordBatch.from_arrays([pa.array(k[first][ok].view(np.int64)), *[pa.array(s[ok]) for s in sums]], names=["word", "df", "toxic", "clean"])
 
     packed = docs.select("doc_id", "text").mapInArrow(count, common.packed_schema(3))
@@ -270,16 +269,14 @@ def threshold(scores: np.ndarray, verdict: np.ndarray) -> float:
     return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0)) / 2)
 
 
-def induce(docs: DataFrame, labels: DataFrame, share: float = SHARE, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def induce(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lexicon and weights, and the labelled sample."""
     ids, verdict = labelled(labels)
-    vocabulary, df, toxic, clean = frequencies(docs, ids, verdict, share)
+    vocabulary, _, toxic, clean = frequencies(docs, ids, verdict)
     pos, neg = seeds(docs, ids, verdict, vocabulary, toxic, clean)
     if not pos.any() or not neg.any():
         return np.empty(0, np.uint64), np.empty(0), ids, verdict
-    p = np.where(pos, 1.0, 0.0)
-    rare = df <= COMMON * max(1, docs.where("text IS NOT NULL").count())
-    p[rare] = polarity(int(rare.sum()), graph(docs, vocabulary[rare]), pos[rare], neg[rare])
+    p = polarity(len(vocabulary), graph(docs, vocabulary), pos, neg)
     return vocabulary[p >= cut], p[p >= cut], ids, verdict
 
 
