@@ -1,15 +1,15 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is layer 0 of its document. A layer is scanned for secrets; its percent-encoded, ``\\u`` / ``\\x`` / ``&#`` escaped and
-base64 (plain or URL-safe) runs are decoded, base64 that holds gzip, zlib, bzip2, xz or zstandard data is unpacked as well, and what a
+base64 (plain or URL-safe) runs are decoded, runs wrapped over lines also as one, and runs with ``/`` also from each ``/`` on and part by part, base64 that holds gzip, zlib, bzip2, xz or zstandard data is unpacked as well, and what a
 run gives is a new layer on the worklist, until no layer is new. A layer that the document has had before (by digest) isn't
 scanned again, so cycles and repeated blobs end. Every finding is reported with its span in its own layer and with the span of the
 layer-0 characters it came from.
 
 Defined cases: null and empty texts have no findings; rows are scanned one by one, so rows repeated under one id give their findings
-once per distinct text; a null id is reported as null; texts and layers of any length are scanned whole; a decoded layer that isn't
-UTF-8 text, or is empty, is no layer; damaged or truncated compressed data gives what can be unpacked of it, never an error; an unpacked layer longer than ``BOMB`` characters per character of
-the run is reported as a finding of kind ``decompression bomb`` and not unpacked further; overlapping findings are all reported; other columns are
+once per distinct text; a null id is reported as null; texts and layers of any length are scanned whole; bytes that aren't UTF-8 are
+replaced; a decoded layer with too many control or (but for percent-encoding) replaced characters, or that is empty, is no layer; damaged or truncated compressed data gives what can be unpacked of it, never an error; a layer longer than ``BOMB`` characters per character of
+the run is reported as a finding of kind ``decompression bomb``, and the text it unpacks to is scanned to its end in overlapping windows, whose own encoded runs aren't decoded; overlapping findings are all reported; other columns are
 ignored.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-BOMB, MARGIN = 200, 1 << 20  #: an unpacked run may have so many bytes per character, and so many besides
+BOMB, MARGIN, WINDOW, OVERLAP = 200, 1 << 20, 1 << 20, 1 << 14  #: an unpacked run may have so many bytes per character, and so many besides
 KINDS = {
     "aws access key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github token": r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b",
@@ -53,6 +54,8 @@ _PERCENT = re.compile(r"[A-Za-z0-9._~+/=:@&?%-]+")
 _ESCAPED = re.compile(r"[!-~]+")
 _HEX = re.compile(r"%[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}+|[A-Za-z0-9_-]{16,}+)={0,2}+(?![A-Za-z0-9+/_=-])")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}(?=[ \t]*(?:\r?\n|\Z)))+")
+_WIDE = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}+")
 _ENCODED = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#[x0-9]|[A-Za-z0-9+/]{16,}|[A-Za-z0-9_-]{16,}"
 SCHEMA = "doc_id bigint, kind string, layer int, path string, layer_start int, layer_end int, start int, end int, digest string"
 
@@ -76,32 +79,58 @@ def _unescape(m: re.Match) -> str:
 _ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#x[0-9A-Fa-f]{1,6};")
 
 
-def _text(raw: bytes) -> str | None:
-    try:
-        s = raw.decode()
-    except UnicodeDecodeError:
+def _text(raw: bytes, replaced: float = 0.2) -> str | None:
+    s = raw.decode(errors="replace")
+    if not s or s.count("\ufffd") > replaced * len(s):
         return None
-    return s if s and sum(c < " " and c not in "\t\n\r" for c in s) * 20 <= len(s) else None
+    return s if sum(c < " " and c not in "\t\n\r" for c in s) * 20 <= len(s) else None
 
 
 class Bomb(Exception):
     pass
 
 
+_DAMAGE = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
+
+
+def unpacker(raw: bytes) -> tuple | None:
+    """Name of compressed data and what decompresses it; None if it isn't such data."""
+    if raw[:2] == b"\x1f\x8b":
+        return "gzip", zlib.decompressobj(31)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd", zstandard.ZstdDecompressor().decompressobj()
+    if raw[:3] == b"BZh":
+        return "bzip2", bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\0":
+        return "xz", lzma.LZMADecompressor()
+    if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return "zlib", zlib.decompressobj()
+    return None
+
+
+def windows(raw: bytes) -> Iterator[tuple[int, str, bool]]:
+    """(place, text, whether it is the last) of overlapping windows of what compressed data unpacks to."""
+    _, d = unpacker(raw)
+    read, held, at = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    try:
+        for i in range(0, len(raw), 512):
+            held += read.decode(d.decompress(raw[i : i + 512]))
+            if len(held) >= WINDOW:
+                yield at, held, False
+                at += len(held) - OVERLAP
+                held = held[-OVERLAP:]
+            if getattr(d, "eof", False):
+                break
+    except _DAMAGE:
+        pass
+    yield at, held, True
+
+
 def unpack(raw: bytes, most: int) -> tuple[str, bytes] | None:
     """Name and content of compressed data, as far as it can be unpacked; None if it isn't such data."""
-    if raw[:2] == b"\x1f\x8b":
-        name, d = "gzip", zlib.decompressobj(31)
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        name, d = "zstd", zstandard.ZstdDecompressor().decompressobj()
-    elif raw[:3] == b"BZh":
-        name, d = "bzip2", bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        name, d = "xz", lzma.LZMADecompressor()
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        name, d = "zlib", zlib.decompressobj()
-    else:
+    if not (known := unpacker(raw)):
         return None
+    name, d = known
     out = bytearray()
     try:
         for i in range(0, len(raw), 512):  # piece by piece, so that a bomb is noticed early
@@ -110,26 +139,23 @@ def unpack(raw: bytes, most: int) -> tuple[str, bytes] | None:
                 raise Bomb(name)
             if getattr(d, "eof", False):
                 break
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+    except _DAMAGE:
         pass
     return (name, bytes(out)) if out else None
 
 
-def decoded(text: str) -> Iterator[tuple[str, int, int, str | None]]:
-    """(how, start, end, content) of each encoded run of a layer; content None for a decompression bomb."""
+def decoded(text: str) -> Iterator[tuple[str, int, int, str | bytes]]:
+    """(how, start, end, content) of each encoded run of a layer; content bytes, still packed, for a decompression bomb."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
-            if _HEX.search(m.group(0)) and (s := _text(unquote_to_bytes(m.group(0)))):
+            if _HEX.search(m.group(0)) and (s := _text(unquote_to_bytes(m.group(0)), 1)):
                 yield "url", *m.span(), s
     if "\\" in text or "&#" in text:
         for m in _ESCAPED.finditer(text):
             s, n = _ONE.subn(_unescape, m.group(0))
             if n:
                 yield "unicode", *m.span(), s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    for m in _BASE64.finditer(text):
-        run = m.group(0).rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper() or run.istitle()):
-            continue
+    for a, b, run in base64_runs(text):
         try:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
@@ -143,10 +169,35 @@ def decoded(text: str) -> Iterator[tuple[str, int, int, str | None]]:
                 how += "+" + packed[0]
                 raw = packed[1]
         except Bomb as e:
-            yield f"{how}+{e}", *m.span(), None
+            yield f"{how}+{e}", a, b, raw
             continue
         if s := _text(raw):
-            yield how, *m.span(), s
+            yield how, a, b, s
+
+
+def base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of what may be base64: runs, runs wrapped over lines, what follows each ``/`` of a run and its parts."""
+    for m in _BASE64.finditer(text):
+        run = m.group(0).rstrip("=")
+        if not (len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper() or run.istitle())):
+            yield *m.span(), run
+    for m in _WRAPPED.finditer(text):
+        lines = list(re.finditer(r"[A-Za-z0-9+/_-]+(={0,2})", m.group(0)))
+        last = next((k for k, x in enumerate(lines) if x.group(1) or k > 1 and len(x.group(0)) < len(lines[1].group(0))), len(lines) - 1)
+        for n in {last + 1, len(lines)}:
+            run = "".join(x.group(0).rstrip("=") for x in lines[:n])
+            yield m.start(), m.start() + lines[n - 1].end(), run[: len(run) - (len(run) % 4 == 1)]
+    for m in _WIDE.finditer(text):
+        run = m.group(0).rstrip("=")
+        cut = [i for i, c in enumerate(run) if c == "/"]
+        for i, end in zip(cut, [*cut[1:], len(run)]):
+            if len(run) - i > 16:
+                head = base64.b64decode(run[i + 1 : i + 65].replace("-", "+").replace("_", "/")[: (min(64, len(run) - i - 1)) // 4 * 4])
+                if unpacker(head) or _text(head, 0.5):
+                    for stop in {end, len(run)}:
+                        if stop - i > 16:
+                            part = run[i + 1 : stop]
+                            yield m.start() + i + 1, m.start() + stop, part[: len(part) - (len(part) % 4 == 1)]
 
 
 def scan(text: str) -> list[tuple]:
@@ -162,8 +213,13 @@ def scan(text: str) -> list[tuple]:
         for how, a, b, content in decoded(layer.text):
             where = (a, b) if outer else (layer.start, layer.end)
             path = f"{layer.path}/{how}" if layer.path else how
-            if content is None:
+            if isinstance(content, bytes):
                 out[("decompression bomb", layer.depth, path, a, b, *where, "")] = None
+                for place, part, end in windows(content):
+                    for kind, pattern in _SCAN.items():
+                        for m in pattern.finditer(part):
+                            if (m.start() or not place) and (end or m.end() < len(part)):  # else cut: whole in another window
+                                out[(kind, layer.depth + 1, path, *(min(place + x, (1 << 31) - 1) for x in m.span()), *where, hashlib.sha256(m.group(0).encode("utf-8", "replace")).hexdigest()[:16])] = None
                 continue
             digest = hashlib.sha256(content.encode("utf-8", "replace")).digest()
             if digest not in seen:
