@@ -216,6 +216,14 @@ def component_merge(spark, d):
     return components(e).select(c("node").alias("obj"), c("root").alias("grp"))
 
 
+@query()  # recursive SQL takes the square of the longest component
+def component_merge_whole(spark, d):
+    """One chain of all parts, and a hub (0) of all customers (negative)."""
+    e = table(spark, d, "part").where("p_partkey > 1").select(c("p_partkey").alias("a"), (c("p_partkey") - 1).alias("b"))
+    hub = table(spark, d, "customer").select((-c("c_custkey")).alias("a"), lit(0).cast("bigint").alias("b"))
+    return components(e.unionByName(hub)).select(c("node").alias("obj"), c("root").alias("grp"))
+
+
 _REFS = "refs AS (SELECT c_custkey AS obj, 'a' AS source, (c_custkey // 3)::VARCHAR AS key FROM customer UNION ALL SELECT c_custkey, 'b', ((c_custkey + 1) // 5)::VARCHAR FROM customer WHERE c_custkey % 4 = 0)"
 
 
