@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -64,6 +65,23 @@ def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def lean(run):
+    """``run`` for mapInArrow, after which the worker, which waits for other tasks, gives its free memory back."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return own
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +156,40 @@ def unpacked(batches, dtypes: tuple, size: int = 1) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.uint64, *dtypes))]
 
 
+BINARY = ["k", *[f"v{i}" for i in range(8)]]
+ROW_SCHEMA = "kind int, pid int, " + ", ".join(f"{c} binary" for c in BINARY)  #: rows of arrays as bytes
+
+
+def row(kind: int, pid: int, *values: bytes) -> tuple:
+    return (kind, pid, *values, *[None] * (len(BINARY) - len(values)))
+
+
+def row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * len(BINARY)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "pid", *BINARY])
+
+
+def runs(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows of columns begin."""
+    if not len(cols[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(cols[0]), bool)
+    new[0] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def numbered(ids: np.ndarray, n: int) -> np.ndarray:
+    """Partition of ids that begin with its number."""
+    return (ids >> np.uint64(40)).astype(np.int64)
+
+
+def numbers(pid: int, seq: int, n: int) -> np.ndarray:
+    """Ids of the n (at most 2**16) members of a partition's row of number seq."""
+    return np.uint64(pid << 40 | seq << 16) + np.arange(n, dtype=np.uint64)
+
+
 PAIR_SCHEMA = "pid int, kind int, k binary, v0 binary, v1 binary, v2 binary, v3 binary"
 PAYLOAD, PAIRS, NEEDED, REQUEST = range(4)
 
@@ -157,9 +209,9 @@ def squash(data: list[bytes]) -> bytes:
     return zstandard.compress(b"".join(data), 3)
 
 
-def payload_rows(ids: np.ndarray, data: list[bytes], n: int) -> list[tuple]:
+def payload_rows(ids: np.ndarray, data: list[bytes], n: int, to=spread) -> list[tuple]:
     """Rows that take each id's payload to its partition."""
-    pid = spread(ids, n)
+    pid = to(ids, n)
     out = []
     for p in np.unique(pid).tolist():
         at = np.flatnonzero(pid == p)
@@ -168,16 +220,16 @@ def payload_rows(ids: np.ndarray, data: list[bytes], n: int) -> list[tuple]:
     return out
 
 
-def found_rows(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple]:
+def found_rows(a: np.ndarray, b: np.ndarray, n: int, to=spread) -> list[tuple]:
     """Rows that take pairs (a, b) to a's partition, and the fact that b is needed to b's."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    pid, out = spread(a, n), []
+    pid, out = to(a, n), []
     for p in np.unique(pid).tolist():
         at = pid == p
         out.append(pair_row(p, PAIRS, a[at], planes(b[at])))
     need = np.unique(b)
-    pid = spread(need, n)
+    pid = to(need, n)
     return out + [pair_row(p, NEEDED, need[pid == p]) for p in np.unique(pid).tolist()]
 
 
@@ -197,8 +249,8 @@ class _Payloads:
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint64)
         self.table, self.place = np.unique(ids, return_index=True)
 
-    def __getitem__(self, key: np.uint64) -> bytes:
-        return self.data[self.place[np.searchsorted(self.table, key)]]
+    def take(self, keys: np.ndarray) -> list[bytes]:
+        return [self.data[i] for i in self.place[np.searchsorted(self.table, keys)].tolist()]
 
 
 def _rows(batches):
@@ -206,8 +258,10 @@ def _rows(batches):
         yield from b.to_pylist()
 
 
-def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataFrame:
-    """(a, b, score) of the pairs for which ``verify()(payload of a, payload of b, a, b)`` isn't None; ``verify`` is called for each partition.
+def verify_pairs(found: DataFrame, payloads: DataFrame, verify, schema: str, n: int, to=spread) -> DataFrame:
+    """What ``verify`` makes of the pairs. It is called with the payloads that a partition holds and gives an object with add(ids, payloads,
+    i, partners, j), for pairs of each id's place i and a partner's place j, and end(); both give batches of ``schema``. ``to`` gives
+    ids' partitions.
 
     ``found`` and ``payloads`` have PAIR_SCHEMA. A payload travels once to its own partition, from there only if it is in a pair, and
     then once to each partition that holds a partner, however many partners those are.
@@ -226,46 +280,40 @@ def verify_pairs(found: DataFrame, payloads: DataFrame, verify, n: int) -> DataF
         held.done()
         if need:
             ids = np.unique(np.concatenate(need))
-            yield pair_batch(payload_rows(ids, [held[i] for i in ids], n))
+            yield pair_batch(payload_rows(ids, held.take(ids), n, to))
         if not a:
             return
         a, b = np.concatenate(a), np.concatenate(b)
-        to = spread(b, n)
-        order = np.lexsort((b, a, to))
-        a, b, to = a[order], b[order], to[order]
+        at = to(b, n)
+        order = np.lexsort((b, a, at))
+        a, b, at = a[order], b[order], at[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, to = a[new], b[new], to[new]
-        for p in np.unique(to).tolist():
-            mine = slice(*np.searchsorted(to, [p, p + 1]))
+        a, b, at = a[new], b[new], at[new]
+        for p in np.unique(at).tolist():
+            mine = slice(*np.searchsorted(at, [p, p + 1]))
             ids, first = np.unique(a[mine], return_index=True)
             counts = np.diff(np.append(first, len(a[mine]))).astype(np.uint32)
             for i in range(0, len(ids), 2000):
                 part = ids[i : i + 2000]
-                own = [held[x] for x in part]
+                own = held.take(part)
                 lo, hi = int(first[i]), int(first[i]) + int(counts[i : i + 2000].sum())
                 yield pair_batch([pair_row(p, REQUEST, part, planes(np.array([len(x) for x in own], np.uint32)), squash(own), planes(counts[i : i + 2000]), planes(b[mine][lo:hi]))])
 
     def check(batches):
-        held, requests, own = _Payloads(), [], verify()
+        held, requests = _Payloads(), []
         for r in _rows(batches):
             held.add(r) if r["kind"] == PAYLOAD else requests.append(r)
         held.done()
+        own = verify(held.data)
         for r in requests:
             ask = _Payloads()
             ask.add(r)
-            counts, partners = unplanes(r["v2"], np.uint32).tolist(), unplanes(r["v3"], np.uint64)
-            rows, at = [], 0
-            for a, data, c in zip(ask.ids[0], ask.data, counts):
-                for b in partners[at : at + c]:
-                    if (s := own(data, held[b], a, b)) is not None:
-                        rows.append((a, b, s))
-                at += c
-            if rows:
-                a, b, s = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(s, pa.float64())], names=["a", "b", "score"])
-
-    routed = by_pid(found.unionByName(payloads), n).mapInArrow(route, PAIR_SCHEMA)
-    return by_pid(routed, n).mapInArrow(check, "a bigint, b bigint, score double")
+            counts, partners = unplanes(r["v2"], np.uint32), unplanes(r["v3"], np.uint64)
+            yield from own.add(ask.ids[0], ask.data, np.repeat(np.arange(len(counts)), counts), partners, held.place[np.searchsorted(held.table, partners)])
+        yield from own.end()
+
+    routed = by_pid(found.unionByName(payloads), n).mapInArrow(lean(route), PAIR_SCHEMA)
+    return by_pid(routed, n).mapInArrow(lean(check), schema)
 
 
 def run_pairs(counts: np.ndarray, starts: np.ndarray, limit: int = 1_000_000):

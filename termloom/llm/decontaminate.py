@@ -143,7 +143,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataF
                 at, item, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(d, pa.int32())], names=["doc_id", "item_id", "distance"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(common.lean(run), SCHEMA)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, items_bytes: int = ITEMS_BYTES) -> DataFrame:

@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 VOCABULARIES = "/opt/tokenizers"  #: folder of the public vocabularies
 MODEL = "piece_bpe_32k.model"
-CACHE = 400_000  #: words whose tokens a worker remembers; a speed setting, results don't depend on it
+CACHE = 150_000  #: words whose tokens a worker remembers within a task; a speed setting, results don't depend on it
 SHORT = 24  #: texts under so many tokens are judged by their byte share alone
 #: Rejection bands by language, else by script, else "*": least and most characters per token, most byte share, least and most entropy
 #: as a part of the most that so many tokens could have.
@@ -106,6 +108,12 @@ def _chunks(texts: list, limit: int = 2_000_000) -> Iterator[range]:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def _forget() -> None:
+    """The worker waits for other tasks after this one: what it remembers of words goes."""
+    for e in _encoders.values():
+        e.words = {}
+
+
 def _judged(batch: pa.RecordBatch, folder: str, model: str, bands: dict) -> Iterator[tuple]:
     enc = _encoders.get((folder, model)) or _encoders.setdefault((folder, model), Encoder(folder, model))
     texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
@@ -123,8 +131,9 @@ def measure(docs: DataFrame, folder: str = VOCABULARIES, model: str = MODEL, ban
             cols = list(zip(*_judged(b, folder, model, bands))) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang").cast(pa.string()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "lang", "n_chars", "n_tokens", "chars_per_token", "byte_share", "entropy", "keep", "reason"])
+        _forget()
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "lang", "text").mapInArrow(common.lean(run), SCHEMA)
 
 
 def keep(docs: DataFrame, folder: str = VOCABULARIES, model: str = MODEL, bands: dict = BANDS) -> DataFrame:
@@ -133,8 +142,9 @@ def keep(docs: DataFrame, folder: str = VOCABULARIES, model: str = MODEL, bands:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([j[5] for j in _judged(b, folder, model, bands)], pa.bool_()))
+        _forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op(spark, sf_dir: str) -> DataFrame:

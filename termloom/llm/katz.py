@@ -105,7 +105,7 @@ def vocabulary(docs: DataFrame, share: float = SHARE) -> Vocabulary:
         elif n_docs:
             yield _batch([("total", None, common.planes(np.array([0])), common.planes(np.array([n_docs])))])
 
-    counted = common.materialize(common.by_pid(docs.select("text").mapInArrow(count, TABLE), n).mapInArrow(total, TABLE), "words")
+    counted = common.materialize(common.by_pid(docs.select("text").mapInArrow(common.lean(count), TABLE), n).mapInArrow(common.lean(total), TABLE), "words")
     common.release(spark)
     tokens = n_docs = 0
     for r in counted.where("part = 'total'").collect():
@@ -119,9 +119,11 @@ def vocabulary(docs: DataFrame, share: float = SHARE) -> Vocabulary:
                 ok = c >= share * tokens
                 yield pa.RecordBatch.from_arrays([pa.array(k[ok].view(np.int64)), pa.array(c[ok])], names=["k", "c"])
 
-    got = counted.where("part = 'word'").select("k", "v0").mapInArrow(often, "k bigint, c bigint").toArrow()
+    got = counted.where("part = 'word'").select("k", "v0").mapInArrow(common.lean(often), "k bigint, c bigint").toArrow()
     common.drop(counted)
     h, c = got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    if len(h) + FIRST > int(LOW):
+        raise ValueError(f"{len(h)} words have no numbers of {int(BITS)} bits: raise the share")
     order = np.argsort(h)
     h, c = h[order], c[order]
     count_ = np.concatenate([[max(1, tokens - int(c.sum())), 0, n_docs], c]).astype(np.int64)
@@ -222,31 +224,31 @@ def train(docs: DataFrame, vocab: Vocabulary, cut: int = CUT) -> DataFrame:
         yield _batch([("hist3", None, _hist(c))])
         if held.any():
             pid = np.full(held.sum(), int(vocab_pid(k[:1])[0]))
-            yield _batch(_pieces("tri", pid, n, k[held], [c[held].astype(np.uint32), whole[held].astype(np.int64)]))
+            yield _batch(_pieces("tri", pid, n, k[held], [c[held], whole[held].astype(np.int64)]))
         b, c = W.sorted_counts(k & np.uint64((1 << 40) - 1), c)
-        yield _batch(_pieces("bi", common.spread(b >> BITS, n), n, b, [c.astype(np.uint32)]))
+        yield _batch(_pieces("bi", common.spread(b >> BITS, n), n, b, [c]))
 
     def vocab_pid(k: np.ndarray) -> np.ndarray:
         v = shared.value
         return v.pid(k >> np.uint64(40), k >> BITS & LOW, v.splits)
 
-    counted = common.materialize(common.by_pid(docs.select("text").mapInArrow(count, TABLE), n).mapInArrow(total, TABLE), "trigrams", ("part",))
+    counted = common.materialize(common.by_pid(docs.select("text").mapInArrow(common.lean(count), TABLE), n).mapInArrow(common.lean(total), TABLE), "trigrams", ("part",))
     common.release(spark)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, c = _gather(batches, {"bi": (np.uint32,)})["bi"]
+        k, c = _gather(batches, {"bi": (np.int64,)})["bi"]
         if not len(k):
             return
-        k, c = W.sorted_counts(k, c.astype(np.int64))
+        k, c = W.sorted_counts(k, c)
         at = _starts(k >> BITS)
         whole = np.repeat(np.add.reduceat(c, at), np.diff(np.append(at, len(k))))
         held = c >= cut
         yield _batch([("hist2", None, _hist(c))])
         if held.any():
-            yield _batch(_pieces("bi", np.full(held.sum(), int(common.spread(k[:1] >> BITS, n)[0])), n, k[held], [c[held].astype(np.uint32), whole[held].astype(np.int64)]))
+            yield _batch(_pieces("bi", np.full(held.sum(), int(common.spread(k[:1] >> BITS, n)[0])), n, k[held], [c[held], whole[held].astype(np.int64)]))
 
     columns = ["part", "pid", "k", "v0", "v1"]
-    bigrams = common.materialize(common.by_pid(counted.where("part = 'bi'").select(columns), n).mapInArrow(sums, TABLE), "bigrams", ("part",))
+    bigrams = common.materialize(common.by_pid(counted.where("part = 'bi'").select(columns), n).mapInArrow(common.lean(sums), TABLE), "bigrams", ("part",))
     d3, d2 = discounts(_hists(counted.where("part = 'hist3'"))), discounts(_hists(bigrams.where("part = 'hist2'")))
 
     def probabilities(c: np.ndarray, whole: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -263,7 +265,7 @@ def train(docs: DataFrame, vocab: Vocabulary, cut: int = CUT) -> DataFrame:
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bigrams and their contexts' weights, to each partition that holds contexts of theirs."""
         v = shared.value
-        k, c, whole = _gather(batches, {"bi": (np.uint32, np.int64)})["bi"]
+        k, c, whole = _gather(batches, {"bi": (np.int64, np.int64)})["bi"]
         if not len(k):
             return
         order = np.argsort(k)
@@ -282,7 +284,7 @@ def train(docs: DataFrame, vocab: Vocabulary, cut: int = CUT) -> DataFrame:
             yield _batch(_pieces("bi", np.repeat(pid, sizes[own]), n, k[rows], [p[rows]]) + _pieces("alpha1", pid, n, first[own], [alpha[own]]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, {"tri": (np.uint32, np.int64), "bi": (np.float64,), "alpha1": (np.float64,)})
+        got = _gather(batches, {"tri": (np.int64, np.int64), "bi": (np.float64,), "alpha1": (np.float64,)})
         rows = []
         for part in ("bi", "alpha1"):
             k, p = got[part]
@@ -307,8 +309,8 @@ def train(docs: DataFrame, vocab: Vocabulary, cut: int = CUT) -> DataFrame:
                 own = TaskContext.get().partitionId()
             yield _batch([(r[0], own, *r[2:]) for r in rows])
 
-    both = common.by_pid(bigrams.where("part = 'bi'").select(columns), n).mapInArrow(copies, TABLE).unionByName(counted.where("part = 'tri'").select(columns))
-    model = common.materialize(common.by_pid(both, n).mapInArrow(finish, TABLE), "katz", ("part",))
+    both = common.by_pid(bigrams.where("part = 'bi'").select(columns), n).mapInArrow(common.lean(copies), TABLE).unionByName(counted.where("part = 'tri'").select(columns))
+    model = common.materialize(common.by_pid(both, n).mapInArrow(common.lean(finish), TABLE), "katz", ("part",))
     common.drop(counted)
     common.drop(bigrams)
     common.release(spark)
@@ -393,10 +395,10 @@ def score(docs: DataFrame, vocab: Vocabulary, model: DataFrame) -> DataFrame:
         total = np.bincount(at, s)
         yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), *[pa.array(c) for c in counts], pa.array(np.round(total, 4)), pa.array(np.round(np.exp(-total / counts[0]), 3))], names=["doc_id", "n_tokens", "n_bigram", "n_unigram", "log_prob", "perplexity"])
 
-    both = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tokens, TABLE).unionByName(model.select("part", "pid", "k", "v0", "v1"))
-    summed = common.materialize(common.by_pid(both, n).mapInArrow(evaluate, TABLE), "katz-sums")
+    both = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(common.lean(tokens), TABLE).unionByName(model.select("part", "pid", "k", "v0", "v1"))
+    summed = common.materialize(common.by_pid(both, n).mapInArrow(common.lean(evaluate), TABLE), "katz-sums")
     common.release(spark)
-    return common.by_pid(summed, n).mapInArrow(add, "doc_id bigint, n_tokens bigint, n_bigram bigint, n_unigram bigint, log_prob double, perplexity double")
+    return common.by_pid(summed, n).mapInArrow(common.lean(add), "doc_id bigint, n_tokens bigint, n_bigram bigint, n_unigram bigint, log_prob double, perplexity double")
 
 
 def fit_score(docs: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED)
                 part = b.slice(t.lo, t.hi - t.lo)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_r").cast(pa.int64()), pa.array([g[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())], names=["lang", "place", "grams"])
 
-    return few.select("lang", "_r", "text").mapInArrow(run, "lang string, place bigint, grams binary")
+    return few.select("lang", "_r", "text").mapInArrow(common.lean(run), "lang string, place bigint, grams binary")
 
 
 class Model:
@@ -144,7 +144,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             doubles = [pa.array(np.concatenate(x), pa.float64(), from_pandas=True) for x in (score, margin)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("lang").cast(pa.string()), pa.array(names[np.concatenate(best)], pa.string()), *doubles, pa.array(np.concatenate(size), pa.int64())], names=["doc_id", "lang", "predicted", "score", "margin", "n_grams"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "lang", "text").mapInArrow(common.lean(run), SCHEMA)
 
 
 def op(spark, sf_dir: str) -> DataFrame:

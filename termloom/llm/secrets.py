@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
+from . import common
+
 BOMB, MARGIN, WINDOW, OVERLAP = 200, 1 << 20, 1 << 20, 1 << 14  #: an unpacked run may have so many bytes per character, and so many besides
 KINDS = {
     "aws access key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -48,8 +50,9 @@ KINDS = {
     "url password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{4,64}@",
 }
 _SCAN = {k: re.compile(v) for k, v in KINDS.items()}
-#: Literals without which no kind can match, for the vectorised test of whole texts (RE2 reads a text once).
-_ANY = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk[-_]|eyJ|-----BEGIN|[Bb]earer|(?i:password|passwd|pwd|secret|token|key|auth)[\"']?\s{0,3}[:=]|://"
+#: Literals without which no kind can match, for the vectorised test of whole texts (RE2 reads a text once). Up to four characters of any
+#: kind stand for a quote and white space, of which RE2 knows only ASCII's.
+_ANY = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk[-_]|eyJ|-----BEGIN|[Bb]earer|(?i:password|passwd|pwd|secret|token|key|auth)(?s:.{0,4})[:=]|://"
 _PERCENT = re.compile(r"[A-Za-z0-9._~+/=:@&?%-]+")
 _ESCAPED = re.compile(r"[!-~]+")
 _HEX = re.compile(r"%[0-9A-Fa-f]{2}")
@@ -79,8 +82,20 @@ def _unescape(m: re.Match) -> str:
 _ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#\d{1,7};|&#x[0-9A-Fa-f]{1,6};")
 
 
+def _codec(raw: bytes) -> str:
+    """UTF-16 if the bytes begin with its mark, or if zeros are two fifths of those at even or of those at odd places; else UTF-8."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    if len(raw) >= 8:
+        for first, name in ((1, "utf-16-le"), (0, "utf-16-be")):
+            part = raw[first::2]
+            if part.count(0) * 5 >= len(part) * 2:
+                return name
+    return "utf-8"
+
+
 def _text(raw: bytes, replaced: float = 0.2) -> str | None:
-    s = raw.decode(errors="replace")
+    s = raw.decode(_codec(raw), errors="replace")
     if not s or s.count("\ufffd") > replaced * len(s):
         return None
     return s if sum(c < " " and c not in "\t\n\r" for c in s) * 20 <= len(s) else None
@@ -111,10 +126,13 @@ def unpacker(raw: bytes) -> tuple | None:
 def windows(raw: bytes) -> Iterator[tuple[int, str, bool]]:
     """(place, text, whether it is the last) of overlapping windows of what compressed data unpacks to."""
     _, d = unpacker(raw)
-    read, held, at = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    read, held, at = None, "", 0
     try:
         for i in range(0, len(raw), 512):
-            held += read.decode(d.decompress(raw[i : i + 512]))
+            part = d.decompress(raw[i : i + 512])
+            if read is None and part:
+                read = codecs.getincrementaldecoder(_codec(part))("replace")
+            held += read.decode(part) if read else ""
             if len(held) >= WINDOW:
                 yield at, held, False
                 at += len(held) - OVERLAP
@@ -243,7 +261,7 @@ def find(docs: DataFrame) -> DataFrame:
             for k in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000]), types)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA).distinct()
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), SCHEMA).distinct()
 
 
 def op(spark, sf_dir: str) -> DataFrame:

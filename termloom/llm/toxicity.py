@@ -32,6 +32,7 @@ from . import words as W
 
 LABELLED = 100_000  #: labelled documents that seeds and threshold are fitted on, at most
 LEAST, WINDOW, NEAR, ODDS, RATIO, STEPS, CUT, PAIRS, SEED = 8, 5, 25, 1.5, 25.0, 200, 0.5, 5, 41
+ROUNDS = 2  #: rounds in which pairs are counted, each those of its share of the words, so that less is exchanged at once; results don't depend on it
 SCHEMA = "doc_id bigint, n_words bigint, n_hits bigint, toxicity double"
 
 
@@ -81,8 +82,8 @@ def frequencies(docs: DataFrame, ids: np.ndarray, verdict: np.ndarray, least: in
             ok = sums[0] >= least
             yield pa.RecordBatch.from_arrays([pa.array(k[first][ok].view(np.int64)), *[pa.array(s[ok]) for s in sums]], names=["word", "df", "toxic", "clean"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(count, common.packed_schema(3))
-    got = common.by_pid(packed, n).mapInArrow(total, "word bigint, df bigint, toxic bigint, clean bigint").toArrow()
+    packed = docs.select("doc_id", "text").mapInArrow(common.lean(count), common.packed_schema(3))
+    got = common.by_pid(packed, n).mapInArrow(common.lean(total), "word bigint, df bigint, toxic bigint, clean bigint").toArrow()
     word = got.column("word").to_numpy().view(np.uint64)
     order = np.argsort(word)
     return word[order], *(got.column(c).to_numpy()[order] for c in ("df", "toxic", "clean"))
@@ -119,7 +120,7 @@ def contexts(docs: DataFrame, ids: np.ndarray, verdict: np.ndarray, candidates:
                 yield pa.RecordBatch.from_arrays([pa.array(r[:, c]) for c in range(3)], names=["k", "around", "verdict"])
 
     out = np.zeros((2, len(candidates)))
-    for r in docs.select("doc_id", "text").mapInArrow(run, "k bigint, around bigint, verdict bigint").groupBy("k", "verdict").agg(F.countDistinct("around").alias("n")).toArrow().to_pylist():
+    for r in docs.select("doc_id", "text").mapInArrow(common.lean(run), "k bigint, around bigint, verdict bigint").groupBy("k", "verdict").agg(F.countDistinct("around").alias("n")).toArrow().to_pylist():
         out[0 if r["verdict"] else 1, r["k"]] = r["n"]
     return out
 
@@ -141,33 +142,38 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
     n, v = common.n_parts(spark), len(vocabulary)
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = shared.value, [], 0
-
-        def out() -> pa.RecordBatch:
-            k, c = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-            return common.pack(common.spread(k // np.uint64(v), n), n, k, [c])
-
-        for b in batches:
-            for w in W.words(b.column("text")):
-                ids = W.find(table, w.hash)
-                keys = []
-                for d in range(1, window + 1):
-                    i, j = ids[:-d], ids[d:]
-                    ok = (i >= 0) & (j >= 0) & (w.row[:-d] == w.row[d:])
-                    i, j = i[ok], j[ok]
-                    keys.append((np.minimum(i, j) * v + np.maximum(i, j)).astype(np.uint64))
-                k, c = W.sorted_counts(np.concatenate(keys))
-                held.append((k, c.astype(np.uint32)))
-                size += len(held[-1][0])
-                if size > 600_000:
-                    merged = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-                    held, size = [merged], 0
-                    if len(merged[0]) > 1_000_000:
-                        yield out()
-                        held = []
-        if held:
-            yield out()
+    def counting(own: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, held, size = shared.value, [], 0
+            mine = common.mix64(np.arange(v, dtype=np.uint64) + np.uint64(5)) % np.uint64(ROUNDS) == own
+
+            def out() -> pa.RecordBatch:
+                k, c = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                return common.pack(common.spread(k // np.uint64(v), n), n, k, [c])
+
+            for b in batches:
+                for w in W.words(b.column("text")):
+                    ids = W.find(table, w.hash)
+                    keys = []
+                    for d in range(1, window + 1):
+                        i, j = ids[:-d], ids[d:]
+                        ok = (i >= 0) & (j >= 0) & (w.row[:-d] == w.row[d:])
+                        i, j = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+                        ok = mine[i]
+                        keys.append((i[ok] * v + j[ok]).astype(np.uint64))
+                    k, c = W.sorted_counts(np.concatenate(keys))
+                    held.append((k, c.astype(np.uint32)))
+                    size += len(held[-1][0])
+                    if size > 600_000:
+                        merged = W.sorted_counts(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+                        held, size = [merged], 0
+                        if len(merged[0]) > 2_000_000:
+                            yield out()
+                            held = []
+            if held:
+                yield out()
+
+        return count
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs that occur often enough, in both directions, and (pid null) words and their counts in all pairs."""
@@ -180,11 +186,16 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
         often = (c >= pairs) & (i != j)
         i, j, c = i[often], j[often], c[often]
         i, j, c = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([c, c])
-        yield common.pack(common.spread(i.astype(np.uint64), n), n, (i * v + j).astype(np.uint64), [c.astype(np.uint32)])
+        yield common.pack(common.spread(i.astype(np.uint64), n), n, (i * v + j).astype(np.uint64), [c.astype(np.int64)])
 
-    counted = common.by_pid(docs.select("text").mapInArrow(count, common.packed_schema(1)), n).mapInArrow(total, common.packed_schema(1))
-    counted = common.materialize(counted, "pairs")
-    common.release(spark)
+    rounds = []
+    for own in range(ROUNDS):
+        counted = common.by_pid(docs.select("text").mapInArrow(common.lean(counting(own)), common.packed_schema(1)), n).mapInArrow(common.lean(total), common.packed_schema(1))
+        rounds.append(common.materialize(counted, "pairs"))
+        common.release(spark)
+    counted = rounds[0]
+    for more in rounds[1:]:
+        counted = counted.unionByName(more)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(v)
@@ -195,12 +206,12 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[own])], names=["i", "c"])
 
     sums = np.zeros(v)
-    got = counted.where("pid IS NULL").mapInArrow(margins, "i bigint, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    got = counted.where("pid IS NULL").mapInArrow(common.lean(margins), "i bigint, c double").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     sums[got.column("i").to_numpy()] = got.column("c").to_numpy()
     shares = spark.sparkContext.broadcast((np.log(np.maximum(sums, 1) / max(1.0, sums.sum())), np.log(np.maximum(sums, 1) ** 0.75 / max(1.0, (sums**0.75).sum())), float(np.log(max(1.0, sums.sum())))))
 
     def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, c = common.unpacked(batches, (np.uint32,))
+        k, c = common.unpacked(batches, (np.int64,))
         k, c = W.sorted_counts(k, c.astype(np.float64))  # a pair comes from one place
         i, j = (k // v).astype(np.int64), (k % v).astype(np.int64)
         own, context, whole = shares.value
@@ -211,8 +222,9 @@ def graph(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW, near: i
         top = np.arange(len(i)) - np.searchsorted(i, i, "left") < near
         yield pa.RecordBatch.from_arrays([pa.array(i[top]), pa.array(j[top]), pa.array(w[top])], names=["i", "j", "w"])
 
-    top = common.by_pid(counted.where("pid IS NOT NULL"), n).mapInArrow(strongest, "i bigint, j bigint, w double").toArrow()
-    common.drop(counted)
+    top = common.by_pid(counted.where("pid IS NOT NULL"), n).mapInArrow(common.lean(strongest), "i bigint, j bigint, w double").toArrow()
+    for r in rounds:
+        common.drop(r)
     return tuple(top.column(x).to_numpy() for x in ("i", "j", "w"))
 
 
@@ -254,7 +266,7 @@ def score(docs: DataFrame, lexicon: np.ndarray, weights: np.ndarray) -> DataFram
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(np.concatenate(c)) for c in cols]], names=["doc_id", "n_words", "n_hits", "toxicity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), SCHEMA)
 
 
 def threshold(scores: np.ndarray, verdict: np.ndarray) -> float:

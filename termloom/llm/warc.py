@@ -93,7 +93,7 @@ def write(pages: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
         where.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], names=["file", "records"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "file string, records bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(common.lean(run), "file string, records bigint")
 
 
 class _Bytes:
@@ -231,7 +231,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return files.mapInArrow(run, SCHEMA)
+    return files.mapInArrow(common.lean(run), SCHEMA)
 
 
 def pages(records: DataFrame) -> DataFrame:

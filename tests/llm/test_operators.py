@@ -279,3 +279,65 @@ def test_hard_rows_and_empty_tables(spark):
         assert jaccard.one_each(d).columns == d.columns
         assert mixing.mix(d).count() <= n
         assert secrets.find(d).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_classes_against_all_pairs(spark, seed):
+    """Long documents that share a passage, near copies, exact copies, and ids of two texts."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    passage = rng.sample(words, 60)
+    rows = []
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([20, 90, 300, 700]))]
+        if i % 3 == 0:
+            base[5:5] = passage
+        for k in range(rng.choice([1, 1, 2, 4])):
+            w = list(base)
+            for _ in range(int(len(w) * rng.choice([0, 0.02, 0.06]))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows) if rng.random() < 0.9 else 2, " ".join(w)))
+    texts = sorted({(d, frozenset(tuple(w[k : k + jaccard.N]) for k in range(max(1, len(w) - jaccard.N + 1)))) for d, t in rows for w in [t.split()]}, key=lambda x: x[0])
+    root, links = {d: d for d, _ in texts}, dict.fromkeys((d for d, _ in texts), 0)
+    for a, (d, x) in enumerate(texts):
+        for b, (e, y) in enumerate(texts):
+            if a != b and len(x & y) / len(x | y) >= jaccard.T:
+                links[d] += 1
+                p, q = root[d], root[e]
+                for k in root:
+                    if root[k] in (p, q):
+                        root[k] = min(p, q)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(df).collect()}
+    assert got == {d: (root[d], links[d]) for d in root} and max(links.values()) > 2
+    assert jaccard.classes(df.limit(0)).count() == 0
+
+
+def test_blocks_agree_within_the_bound():
+    """Pigeonhole: sets that differ in as much as a band allows share a key."""
+    rng = np.random.default_rng(5)
+    bands = jaccard.Bands()
+    for size in (3, 17, 60, 250, 1200):
+        for _ in range(20):
+            both = int(np.ceil(jaccard.T / (1 + jaccard.T) * 2 * size))
+            g = rng.integers(1, 1 << 32, 2 * size, dtype=np.uint64)
+            a, b = g[:size], np.concatenate([g[:both], g[size : 2 * size - both]])
+            keys = []
+            for s in (a, b):
+                keys.append({int(k) for _, ks, _ in jaccard.block_keys(np.zeros(len(s), np.int64), np.sort(s), np.array([len(s)]), bands) for k in ks})
+            assert keys[0] & keys[1]
+
+
+def test_secrets_beyond_ascii(spark):
+    import base64
+
+    from termloom.llm import secrets as S
+
+    rows = [(1, "password : hunter2hunter2"), (2, base64.b64encode("the password = hunter2hunter2 of it".encode("utf-16-le")).decode()), (3, base64.b64encode("password: hunter2hunter2 ".encode("utf-16")).decode()), (4, "paſſword: hunter2hunter2")]
+    got = {r["doc_id"] for r in S.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {1, 2, 3} <= got
+    rng = random.Random(6)
+    pieces = ["password", "Token", "auth", "Key", "api_key", " ", " ", " ", ":", "=", '"', "'", "abcdefgh12", "AKIA", "　", "\n", "x"]
+    texts = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(2, 9)))) for i in range(800)]
+    found = {r["doc_id"] for r in S.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert found == {i for i, t in texts if any(p.search(t) for p in S._SCAN.values())}
