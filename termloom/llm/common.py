@@ -43,10 +43,11 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize`."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete a table made by :func:`materialize`, or that one of its parts."""
     path = getattr(df, "_termloom_path", None)
     if path:
+        path = f"{path}/{part}".rstrip("/")
         jvm = df.sparkSession.sparkContext._jvm  # noqa: SLF001
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
