@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -83,3 +84,19 @@ def quoted_split(c: Column) -> Column:
     cut = "\u0001"
     pieces = F.transform(F.split(c, '"'), lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit(";"), F.lit(cut))).otherwise(x))
     return F.filter(F.transform(F.split(F.array_join(pieces, '"'), cut), strip), lambda x: x != "")
+
+
+#: What full case folding makes of characters that lower case leaves otherwise.
+_FOLDS = {x: x.casefold() for x in map(chr, range(sys.maxunicode + 1)) if x.casefold() != x.lower()}
+_FOLDS |= {x.lower(): x.casefold() for x in map(chr, range(sys.maxunicode + 1)) if len(x.lower()) == 1 and x.lower() != x.casefold()}
+_ONE = {a: b for a, b in _FOLDS.items() if len(b) == 1}
+_MORE = {a: b for a, b in _FOLDS.items() if len(b) > 1}
+
+
+def folded(c: Column) -> Column:
+    """Case-folded text, for comparisons that ignore case: sharp s is ss, a final sigma a sigma, a ligature its letters."""
+    c = F.translate(F.lower(c), "".join(_ONE), "".join(_ONE.values()))
+    more = c
+    for a, b in _MORE.items():
+        more = F.replace(more, F.lit(a), F.lit(b))
+    return F.when(c.rlike("[" + "".join(_MORE) + "]"), more).otherwise(c)

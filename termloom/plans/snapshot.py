@@ -9,9 +9,13 @@ from .. import vocabulary as V
 
 
 def sets(quads: DataFrame) -> DataFrame:
-    """(subject, s): each subject's statements over all files, without its date, as a sorted array."""
+    """(subject, s): each subject's statements over all files, without its date, as a sorted array. Objects are whole terms: kind,
+    language and datatype count as far as there are columns of them (none is as good as null there; languages without case)."""
     rows = quads.where(F.col("predicate") != V.MODIFIED)
-    return rows.groupBy("subject").agg(F.array_sort(F.collect_set(F.struct("predicate", "o_value"))).alias("s"))
+    empty = F.lit("")
+    of = {"o_kind": F.col("o_kind"), "o_lang": F.lower("o_lang"), "o_type": F.nullif(F.col("o_type"), F.lit(V.XSD + "string"))}
+    more = [F.coalesce(x, empty).alias(n) if n in quads.columns else empty.alias(n) for n, x in of.items()]
+    return rows.groupBy("subject").agg(F.array_sort(F.collect_set(F.struct("predicate", "o_value", *more))).alias("s"))
 
 
 def new(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -410,6 +410,30 @@ def modified_carry_forward(spark, d):
     return snapshot.dated(*_snapshots(spark, d), "2024-03-01")
 
 
+_TERMS = _SNAP + """, tag AS (SELECT *, 'lit' AS o_kind, CASE WHEN predicate = 'type' THEN 'en' END AS o_lang, CASE WHEN predicate = 'user' THEN 'urn:integer' END AS o_type FROM prev),
+now AS (SELECT subject, predicate, o_value, o_kind, CASE WHEN o_lang IS NOT NULL AND event_id % 13 = 0 THEN 'fr' ELSE o_lang END AS o_lang, CASE WHEN o_type IS NOT NULL AND event_id % 17 = 0 THEN 'urn:long' ELSE o_type END AS o_type FROM tag),
+a AS (SELECT subject, list_sort(list(concat_ws('|', predicate, o_value, o_kind, coalesce(o_lang, ''), coalesce(o_type, '')))) AS s FROM now WHERE predicate <> '%s' GROUP BY subject),
+b AS (SELECT subject, list_sort(list(concat_ws('|', predicate, o_value, o_kind, coalesce(o_lang, ''), coalesce(o_type, ''))) FILTER (WHERE predicate <> '%s')) AS s, max(o_value) FILTER (WHERE predicate = '%s') AS d FROM tag GROUP BY subject)""".replace("%s", V.MODIFIED)
+
+
+def _tagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot with languages and datatypes, and one in which nothing but some of these is other."""
+    old = _snapshots(spark, d)[1].withColumns({"o_kind": lit("lit"), "o_lang": F.when(c("predicate") == "type", "en"), "o_type": F.when(c("predicate") == "user", "urn:integer")})
+    n = F.split_part("subject", lit(":"), lit(2)).cast("bigint")
+    now = old.withColumns({"o_lang": F.when(c("o_lang").isNotNull() & (n % 13 == 0), "fr").otherwise(c("o_lang")), "o_type": F.when(c("o_type").isNotNull() & (n % 17 == 0), "urn:long").otherwise(c("o_type"))})
+    return now, old
+
+
+@query(_TERMS + " SELECT a.subject FROM a JOIN b USING (subject) WHERE a.s <> b.s")
+def snapshot_changed_terms(spark, d):
+    return snapshot.changed(*_tagged(spark, d))
+
+
+@query(_TERMS + " SELECT a.subject, CASE WHEN a.s = b.s AND b.d IS NOT NULL THEN b.d ELSE '2024-03-01' END AS modified FROM a LEFT JOIN b USING (subject)")
+def modified_terms(spark, d):
+    return snapshot.dated(*_tagged(spark, d), "2024-03-01")
+
+
 _LIFE = QUADS + _IDMAP + """, live AS (SELECT iri FROM named WHERE md5(iri) >= '4' AND source <> 'erp'), gone AS (SELECT DISTINCT subject FROM quads WHERE subject NOT IN (SELECT iri FROM live)),
 fate AS (SELECT subject, CASE WHEN bool_and(source IN ('geo', 'crm', 'catalog')) IS NULL THEN 'unmapped' WHEN bool_and(source IN ('geo', 'crm', 'catalog')) THEN 'deprecate' ELSE 'keep' END AS fate FROM gone LEFT JOIN id_map ON subject = iri GROUP BY subject)"""
 
@@ -506,7 +530,7 @@ def _rule_sql(r: compiler.Rule) -> str:
     having = {
         "minCount": f"count(v.o_value) < {r.value}", "maxCount": f"count(v.o_value) > {r.value}", "none": "count(v.o_value) > 0",
         "unique_lang": "count(v.o_value) > count(DISTINCT CASE WHEN v.o_value IS NOT NULL THEN coalesce(v.o_lang, '') END)",
-        "lang": "count(v.o_value) > count(v.o_lang)", "plain": "count(v.o_lang) > 0",
+        "lang": "count(v.o_value) > count(v.o_lang)", "plain": "count(v.o_lang) + count(*) FILTER (WHERE v.o_kind = 'iri') > 0",
         "in": f"count(v.o_value) FILTER (WHERE v.o_value NOT IN ({', '.join(repr(x) for x in r.value or ())})) > 0" if r.component == "in" else "",
     }[r.component]
     return f"SELECT '{r.name}' AS rule, '{r.severity}' AS severity, f.subject FROM ({focus}) f LEFT JOIN {vals} v USING (subject) GROUP BY f.subject HAVING {having}"
@@ -575,7 +599,7 @@ def name_clash(spark, d):
     q = quads(spark, d)
     labels = q.where(c("predicate") == V.LABEL).select("subject", c("o_value").alias("label"))
     both = labels.join(compiler.types(q), "subject")
-    return both.groupBy(c("type").alias("class"), F.lower("label").alias("name")).agg(F.countDistinct("subject").alias("n"), F.min("label").alias("label")).where("n > 1")
+    return both.groupBy(c("type").alias("class"), text.folded(c("label")).alias("name")).agg(F.countDistinct("subject").alias("n"), F.min("label").alias("label")).where("n > 1")
 
 
 @query(_BAD + " SELECT rule, subject, place FROM (SELECT rule, subject, row_number() OVER (PARTITION BY rule ORDER BY subject) AS place FROM (" + " UNION ALL ".join(map(_rule_sql, _rules("label", "status"))) + ")) WHERE place <= 20")

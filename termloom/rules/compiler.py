@@ -14,6 +14,8 @@ from ..plans.components import cyclic
 ALL = tuple(V.CLASS.values())
 ENTITY, ATTRIBUTE, RELATIONSHIP, SCHEME, VALUE = (V.CLASS[k] for k in ("entity", "attribute", "relationship", "scheme", "taxonomy-value"))
 
+TERM = V.SEM + "BusinessTerm"
+
 
 class Rule(NamedTuple):
     name: str
@@ -34,18 +36,22 @@ CATALOG = [
     Rule("scheme-missing", (ENTITY, ATTRIBUTE, RELATIONSHIP, VALUE), V.IN_SCHEME, "minCount", 1),
     Rule("scheme-undeclared", (ENTITY, ATTRIBUTE, RELATIONSHIP, VALUE), V.IN_SCHEME, "class", SCHEME),
     Rule("definition-missing", (ENTITY, ATTRIBUTE, VALUE), V.DEFINITION, "minCount", 1, "warning"),
+    Rule("definition-untagged", (ENTITY, ATTRIBUTE, RELATIONSHIP, VALUE, TERM), V.DEFINITION, "lang"),
     Rule("owner-missing", (ATTRIBUTE,), V.ATTRIBUTE_OF, "minCount", 1),
     Rule("owner-repeated", (ATTRIBUTE,), V.ATTRIBUTE_OF, "maxCount", 1),
     Rule("owner-class", (ATTRIBUTE,), V.ATTRIBUTE_OF, "class", ENTITY),
     Rule("source-missing", (RELATIONSHIP,), V.SOURCE, "minCount", 1),
+    Rule("source-repeated", (RELATIONSHIP,), V.SOURCE, "maxCount", 1),
     Rule("source-class", (RELATIONSHIP,), V.SOURCE, "class", ENTITY),
     Rule("target-missing", (RELATIONSHIP,), V.TARGET, "minCount", 1),
+    Rule("target-repeated", (RELATIONSHIP,), V.TARGET, "maxCount", 1),
     Rule("target-class", (RELATIONSHIP,), V.TARGET, "class", ENTITY),
     Rule("scheme-type", (SCHEME,), V.SCHEME_TYPE, "in", ("glossary", "taxonomy")),
     Rule("scheme-type-missing", (SCHEME,), V.SCHEME_TYPE, "minCount", 1),
+    Rule("scheme-type-repeated", (SCHEME,), V.SCHEME_TYPE, "maxCount", 1),
     Rule("enumerates-class", (SCHEME,), V.ENUMERATES, "class", ENTITY),
     Rule("broader-class", (ENTITY,), V.BROADER, "class", ENTITY),
-    Rule("broader-unwanted", (ATTRIBUTE, RELATIONSHIP, SCHEME), V.BROADER, "none"),
+    Rule("broader-unwanted", (ATTRIBUTE, RELATIONSHIP, SCHEME, TERM), V.BROADER, "none"),
     Rule("notation-plain", ALL, V.NOTATION, "plain"),
 ]
 
@@ -60,12 +66,13 @@ def evaluate(quads: DataFrame, rules: list[Rule] = CATALOG) -> DataFrame:
     Counting and literal rules share one pass: statements are grouped by subject and path once, whatever the number of rules."""
     typed = types(quads)
     paths = sorted({r.path for r in rules})
-    values = quads.where(F.col("predicate").isin(paths)).select("subject", "predicate", "o_kind", "o_value", "o_lang")
+    typed_ = F.nullif(F.col("o_type"), F.lit(V.XSD + "string")) if "o_type" in quads.columns else F.lit(None).cast("string")
+    values = quads.where(F.col("predicate").isin(paths)).select("subject", "predicate", "o_kind", "o_value", "o_lang", typed_.alias("o_type"))
     focus = typed.groupBy("subject").agg(F.collect_set("type").alias("types"))
     one = values.distinct().groupBy("subject", "predicate").agg(
-        F.count("*").alias("n"), F.countDistinct(F.coalesce("o_lang", F.lit(""))).alias("langs"), F.count("o_lang").alias("tagged"), F.collect_set("o_value").alias("values")
+        F.count("*").alias("n"), F.countDistinct(F.coalesce("o_lang", F.lit(""))).alias("langs"), F.count("o_lang").alias("tagged"), F.count_if((F.col("o_kind") == "iri") | F.col("o_lang").isNotNull() | F.col("o_type").isNotNull()).alias("other"), F.collect_set("o_value").alias("values")
     )
-    wide = focus.join(one.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", F.struct("n", "langs", "tagged", "values")))).alias("p")), "subject", "left")
+    wide = focus.join(one.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", F.struct("n", "langs", "tagged", "other", "values")))).alias("p")), "subject", "left")
     found = []
     none = F.array().cast("array<string>")
     for r in rules:
@@ -80,7 +87,7 @@ def evaluate(quads: DataFrame, rules: list[Rule] = CATALOG) -> DataFrame:
             "none": n > 0,
             "unique_lang": n > F.coalesce(at["langs"], F.lit(0)),
             "lang": n > F.coalesce(at["tagged"], F.lit(0)),
-            "plain": F.coalesce(at["tagged"], F.lit(0)) > 0,
+            "plain": F.coalesce(at["other"], F.lit(0)) > 0,
             "in": F.size(F.array_except(F.coalesce(at["values"], none), allowed)) > 0,
         }[r.component]
         target = F.arrays_overlap("types", F.array(*[F.lit(t) for t in r.targets]))
