@@ -18,3 +18,8 @@ def folder(spark, tmp_path_factory):
 def test_op4_gives_a_row_per_document(spark, folder):
     got = {r["doc_id"]: r["predicted"] for r in queries.queries()["op4_string_kernel"](spark, folder).collect()}
     assert len(got) == 42 and got[40] == "en" and all(got[i] == ("en", "de")[i % 2] for i in range(40))
+
+
+def test_op6_finds_items_within_the_budget(spark, folder):
+    got = queries.queries()["op6_benchmark_matches"](spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 7) for i in range(1, 40, 2)}
