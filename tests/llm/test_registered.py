@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from termloom.llm import queries
 
 
@@ -23,3 +24,9 @@ def test_op4_gives_a_row_per_document(spark, folder):
 def test_op6_finds_items_within_the_budget(spark, folder):
     got = queries.queries()["op6_benchmark_matches"](spark, folder).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 7) for i in range(1, 40, 2)}
+
+
+def test_pipeline_drops_documents_that_hold_an_item(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.decontamination(spark, docs, folder)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {*range(0, 40, 2), 40, 41}
