@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names; one of our own only in local sessions that name none."""
-    spark: SparkSession = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only in local sessions that name none."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
@@ -21,11 +21,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="termloom-checkpoint-"))
         named = _own[0]
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in that folder."""
+    context, named = df.sparkSession.sparkContext, _folder(df.sparkSession)
     if not context._jsc.sc().getCheckpointDir().isDefined():  # noqa: SLF001
         context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in that folder. Whoever reads it again gets the very same rows; columns are read singly and compressed."""
+    path = f"{_folder(df.sparkSession)}/termloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b) of one comparable type: each node's least connected node, by pointer jumping."""
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

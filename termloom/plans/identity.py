@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..vocabulary import RANK
+from .components import stored
 
 
 def resolve(named: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -28,12 +29,14 @@ def appended(resolved: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``place`` (from 1) in a total order: sorted in ranges, numbered within each, moved on by the sizes of those before."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """``df`` with ``place`` (from 1) in a total order: sorted in ranges, numbered within each, moved on by the sizes of those before.
+
+    The ranges are stored, as their limits are sampled: made again for the sizes, they would be others."""
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_p": F.shiftright("_m", 33), "_n": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_m")
     sizes = ranged.groupBy("_p").count()
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    return within.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
+    return ranged.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
 
 
 def collisions(named: DataFrame) -> DataFrame:
