@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..plans.components import cyclic
+from ..plans.components import cyclic, stored
 
 ALL = tuple(V.CLASS.values())
 ENTITY, ATTRIBUTE, RELATIONSHIP, SCHEME, VALUE = (V.CLASS[k] for k in ("entity", "attribute", "relationship", "scheme", "taxonomy-value"))
@@ -63,43 +63,53 @@ def types(quads: DataFrame) -> DataFrame:
 def evaluate(quads: DataFrame, rules: list[Rule] = CATALOG) -> DataFrame:
     """(rule, severity, subject) of all violations of all rules.
 
-    Counting and literal rules share one pass: statements are grouped by subject and path once, whatever the number of rules."""
-    typed = types(quads)
+    The statements are read and sent once, whatever the number of rules: each subject's distinct ones are gathered, and all rules look
+    at those. Class rules then look up the distinct objects of their links, as very many subjects may share one."""
     paths = sorted({r.path for r in rules})
     typed_ = F.nullif(F.col("o_type"), F.lit(V.XSD + "string")) if "o_type" in quads.columns else F.lit(None).cast("string")
-    values = quads.where(F.col("predicate").isin(paths)).select("subject", "predicate", "o_kind", "o_value", "o_lang", typed_.alias("o_type"))
-    focus = typed.groupBy("subject").agg(F.collect_set("type").alias("types"))
-    one = values.distinct().groupBy("subject", "predicate").agg(
-        F.count("*").alias("n"), F.countDistinct(F.coalesce("o_lang", F.lit(""))).alias("langs"), F.count("o_lang").alias("tagged"), F.count_if((F.col("o_kind") == "iri") | F.col("o_lang").isNotNull() | F.col("o_type").isNotNull()).alias("other"), F.collect_set("o_value").alias("values")
-    )
-    wide = focus.join(one.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", F.struct("n", "langs", "tagged", "other", "values")))).alias("p")), "subject", "left")
+    known = [*paths, V.TYPE]
+    which = F.lit(None).cast("int")
+    for i, p in enumerate(known):
+        which = F.when(F.col("predicate") == p, i).otherwise(which)
+    each = quads.where(F.col("predicate").isin(known)).select("subject", F.xxhash64("subject").alias("_h"), F.struct(which.alias("i"), "o_kind", "o_value", "o_lang", typed_.alias("o_type")).alias("s"))
+    own = each.groupBy("_h", "subject").agg(F.collect_set("s").alias("s"))  # the aggregate's sort compares the hash first, as all subjects begin alike
+    of = lambda p: F.filter("s", lambda x: x["i"] == known.index(p))
+    own = own.select("subject", F.array_distinct(F.transform(of(V.TYPE), lambda x: x["o_value"])).alias("types"), *[of(p).alias(f"_{i}") for i, p in enumerate(paths)]).where(F.size("types") > 0)
     found = []
-    none = F.array().cast("array<string>")
     for r in rules:
         if r.component == "class":
             continue
-        at = F.try_element_at("p", F.lit(r.path))
-        n = F.coalesce(at["n"], F.lit(0))
-        allowed = F.array(*[F.lit(v) for v in r.value]).cast("array<string>") if r.component == "in" else none
+        at = F.col(f"_{paths.index(r.path)}")
+        n = F.size(at)
         bad = {
-            "minCount": n < (r.value if r.component == "minCount" else 0),
-            "maxCount": n > (r.value if r.component == "maxCount" else 0),
-            "none": n > 0,
-            "unique_lang": n > F.coalesce(at["langs"], F.lit(0)),
-            "lang": n > F.coalesce(at["tagged"], F.lit(0)),
-            "plain": F.coalesce(at["other"], F.lit(0)) > 0,
-            "in": F.size(F.array_except(F.coalesce(at["values"], none), allowed)) > 0,
-        }[r.component]
+            "minCount": lambda: n < r.value,
+            "maxCount": lambda: n > r.value,
+            "none": lambda: n > 0,
+            "unique_lang": lambda: n > F.size(F.array_distinct(F.transform(at, lambda x: F.coalesce(x["o_lang"], F.lit(""))))),
+            "lang": lambda: F.exists(at, lambda x: x["o_lang"].isNull()),
+            "plain": lambda: F.exists(at, lambda x: (x["o_kind"] == "iri") | x["o_lang"].isNotNull() | x["o_type"].isNotNull()),
+            "in": lambda: F.exists(at, lambda x: ~x["o_value"].isin(*r.value)),
+        }[r.component]()
         target = F.arrays_overlap("types", F.array(*[F.lit(t) for t in r.targets]))
         found.append(F.when(target & bad, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"))))
-    plain = wide.select("subject", F.explode(F.array_compact(F.array(*found))).alias("v")).select("v.rule", "v.severity", "subject")
+    violations = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule:string,severity:string>>")
     by_class = [r for r in rules if r.component == "class"]
     if not by_class:
-        return plain
-    table = quads.sparkSession.createDataFrame([(r.name, r.severity, t, r.path, r.value) for r in by_class for t in r.targets], "rule string, severity string, type string, predicate string, want string")
-    links = values.join(typed, "subject").join(F.broadcast(table), ["type", "predicate"])
-    wrong = links.join(typed.select(F.col("subject").alias("o_value"), F.col("type").alias("want")), ["o_value", "want"], "left_anti")
-    return plain.unionByName(wrong.select("rule", "severity", "subject").distinct())
+        return own.select("subject", F.explode(violations).alias("v")).select("v.rule", "v.severity", "subject")
+    wanted = sorted({r.value for r in by_class})
+
+    def linked_by(r: Rule) -> Column:
+        to = F.transform(f"_{paths.index(r.path)}", lambda x: F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), x["o_value"].alias("o_value"), F.lit(r.value).alias("want")))
+        target = F.arrays_overlap("types", F.array(*[F.lit(t) for t in r.targets]))
+        return F.when(target, to).otherwise(F.array().cast("array<struct<rule:string,severity:string,o_value:string,want:string>>"))
+
+    links = F.flatten(F.array(*map(linked_by, by_class)))
+    seen = stored(own.select("subject", F.filter("types", lambda t: t.isin(wanted)).alias("types"), violations.alias("violations"), links.alias("links")))
+    plain = seen.select("subject", F.explode("violations").alias("v")).select("v.rule", "v.severity", "subject")
+    linked = seen.select("subject", F.explode("links").alias("l")).select("subject", "l.*")
+    declared = seen.select(F.col("subject").alias("o_value"), F.explode("types").alias("want"))
+    wrong = stored(linked.select("o_value", "want").distinct().join(declared, ["o_value", "want"], "left_anti"))
+    return plain.unionByName(linked.join(wrong, ["o_value", "want"], "left_semi").select("rule", "severity", "subject").distinct())
 
 
 def cycles(quads: DataFrame) -> DataFrame:
