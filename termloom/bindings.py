@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .plans import assemble
-from .plans.components import checkpointed
+from .plans.components import stored
 
 BASE = "https://models.example.org/"
 FIELDS = ("kind", "source", "key", "label", "schemes", "slug", "broader", "owner", "end_a", "end_b")
@@ -68,11 +68,16 @@ def named(objects_: DataFrame) -> DataFrame:
     c = F.col
     local = ids.local_name(c("kind"), c("source"), c("key"), c("schemes"), c("slug"))
     out = objects_.withColumns({"ref": F.concat_ws(":", "source", "key"), "iri": F.concat(ids.namespace(c("kind"), BASE), local)})
-    return checkpointed(out)  # queries read it several times
+    return stored(out)  # queries read it several times
+
+
+def statements(named_: DataFrame) -> DataFrame:
+    return assemble.statements(named_, BASE, glossary=lambda slug: slug != "part-type")
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(assemble.statements(named(objects(spark, sf_dir)), BASE, glossary=lambda slug: slug != "part-type"))
+    """The statements of all objects, for queries that read them once."""
+    return statements(named(objects(spark, sf_dir)))
 
 
 REGION = "'region-' || n_regionkey"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from .components import stored
 
 
 def defined(quads: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def divide(previous: DataFrame, live: DataFrame, id_map: DataFrame, fetched: lis
 def deprecated(previous: DataFrame, subjects: DataFrame, merges: DataFrame) -> DataFrame:
     """Statements of deprecated subjects: all but status, replacement and date, then the status and the register's replacement on
     the defining blocks."""
-    blocks = previous.join(subjects.select("subject"), "subject", "left_semi")
+    blocks = stored(previous.join(subjects.select("subject"), "subject", "left_semi").select("file", "subject", "predicate", "o_kind", "o_value", "o_lang"))
     kept = blocks.where(~F.col("predicate").isin(V.STATUS, V.REPLACED_BY, V.MODIFIED)).select("file", "subject", "predicate", "o_kind", "o_value", "o_lang")
     defining = blocks.where(F.col("predicate") == V.LABEL).select("file", "subject").distinct()
     null = F.lit(None).cast("string")
